@@ -1,0 +1 @@
+"""The covered feature set has no stream source, watermark or state, so nothing is built here."""
