@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from almanac.functions.expr import count_where, div, pearson
 from almanac.operators.reshape import tail_rows
 from almanac.plans import blocks
+from almanac.plans.lineage import cut
 from almanac.plans.quantiles import series_quantiles
 
 KEYS = ["station_code", "station"]
@@ -328,6 +329,7 @@ def feature_row(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     Frame features only need the last rows, so they run on a short tail; ``pos`` is kept, so
     windows longer than the series stay zero.
     """
+    df = cut(df)  # a dozen branches read it
     tail = tail_rows(df, max(ROLLING) + 2 * max(MOMENTUM) + 1, keys).drop("age")
     frames = [
         _at_last(lag_features(tail, 7, keys), [f"lag_{k}" for k in range(1, 8)], "", keys),
