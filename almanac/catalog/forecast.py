@@ -115,7 +115,7 @@ def ftr_sql(rel, out, days=21):
     regr_slope(value, pos) AS slope, regr_intercept(value, pos) AS ic FROM {rel} GROUP BY 1, 2),
   {out}_p AS (SELECT f.*, lo, hi, CASE WHEN s < 0.01 THEN m ELSE ic + slope * (n + days_ahead) END AS p
     FROM {out}_f f JOIN {out}_h h ON f.station_code = h.station_code AND f.component = h.component),
-  {out} AS MATERIALIZED (SELECT {CKS}, date, days_ahead, CASE WHEN hi > lo AND max(p) OVER w > min(p) OVER w
+  {out} AS MATERIALIZED (SELECT {CKS}, date, days_ahead, CASE WHEN max(p) OVER w - min(p) OVER w > 1e-9 * (hi - lo)
     THEN (p - min(p) OVER w) / (max(p) OVER w - min(p) OVER w) * (hi - lo) + lo ELSE p END AS value
     FROM {out}_p WINDOW w AS (PARTITION BY station_code, component))"""
 

@@ -56,7 +56,10 @@ def forecast_ar(comp: DataFrame, days: int = DEFAULT_DAYS, keys: list[str] = CKE
 
 
 def forecast_trend(comp: DataFrame, days: int = DEFAULT_DAYS, keys: list[str] = CKEYS) -> DataFrame:
-    """Line extended over the horizon and rescaled to the historical range; the mean where nothing varies."""
+    """Line extended over the horizon and rescaled to the historical range; the mean where nothing varies.
+
+    A line that is flat but for rounding noise is not stretched.
+    """
     hist = comp.groupBy(*keys).agg(
         F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.regr_slope("value", F.col("pos").cast("double")).alias("slope"),
@@ -68,7 +71,7 @@ def forecast_trend(comp: DataFrame, days: int = DEFAULT_DAYS, keys: list[str] =
     low, high = F.min("p").over(w), F.max("p").over(w)
     spread = F.col("hi") - F.col("lo")
     scaled = F.when(
-        (spread > 0) & (high > low), (F.col("p") - low) / (high - low) * spread + F.col("lo")).otherwise(F.col("p"))
+        high - low > 1e-9 * spread, (F.col("p") - low) / (high - low) * spread + F.col("lo")).otherwise(F.col("p"))
     return rows.select(*keys, "date", "days_ahead", scaled.alias("value"))
 
 
