@@ -1,0 +1,99 @@
+"""The whole run as one job: preprocess, imputation, prediction. Each stage includes those before it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from almanac.operators import alerts as al
+from almanac.operators import components as co
+from almanac.operators import forecast as fo
+from almanac.operators import impute as im
+from almanac.operators import models as mo
+from almanac.operators import precip as pr
+from almanac.operators import quality as qu
+from almanac.operators import reshape as re_
+from almanac.plans.lineage import cut
+
+KEYS = ["station_code", "station"]
+STAGES = ("preprocess", "imputation", "prediction")
+MIN_MODEL_ROWS = 100
+
+# Variables that take the rain path.
+RAIN_NAMES = ("precip", "lluvia", "rain")
+
+
+def preprocess(raw: DataFrame, max_stations: int | None = None) -> DataFrame:
+    """Monthly-wide or long rows to a complete daily calendar."""
+    _, days = qu.find_day_columns(raw.columns)
+    if days:
+        names = [qu.find_column(raw.columns, *qu.COLUMN_NAMES[r]) for r in ("code", "station", "year", "month")]
+        long = re_.unpivot_days(raw, [c for c, _ in days], *names)
+    else:
+        long = raw.select(*KEYS, "date", "value")
+    once = long.groupBy(*KEYS, "date").agg(F.min("value").alias("value"))
+    if max_stations is not None:
+        once = re_.limit_stations(once, max_stations)
+    return re_.calendar_spine(once)
+
+
+def impute(daily: DataFrame, max_block: int = im.LARGE_TRIM) -> tuple[DataFrame, DataFrame]:
+    """Filled series and the station report."""
+    trimmed = cut(im.trim_large_blocks(daily, max_block).drop("blocks_removed"))
+    done = cut(im.impute_auto(trimmed))
+    return done, im.imputation_report(daily, trimmed, done, "auto")
+
+
+def predict(filled: DataFrame, variable: str, days: int = fo.DEFAULT_DAYS) -> dict[str, DataFrame]:
+    """Components, classes, fitted models and the final forecast of all eligible stations."""
+    enough = filled.groupBy(*KEYS).agg(F.count("value").alias("known")).filter(F.col("known") >= MIN_MODEL_ROWS)
+    history = cut(filled.join(enough.select(*KEYS), KEYS, "left_semi").select(*KEYS, "date", "pos", "value"))
+    comp = cut(co.decompose(history))
+    classes = cut(co.classify_components(co.seasonal_model_score(co.score_inputs(comp))))
+    models = cut(mo.lag_model_fit(comp))
+    parts = cut(fo.predict_components(comp, classes, models, days))
+    if any(n in variable.lower() for n in RAIN_NAMES):
+        profile = pr.wet_dry_profile(history)
+        forecast = pr.precip_interval(cut(pr.precip_forecast(parts, history)), profile)
+    else:
+        forecast = fo.confidence_interval(fo.reconstruct_forecast(parts, history), parts)
+    forecast = cut(forecast.select(*KEYS, "date", "days_ahead", "value", "lower_ci", "upper_ci"))
+    quality = fo.forecast_quality(forecast, history, parts)
+    table = fo.predictions_table(history, forecast, parts, quality, variable)
+    return {"history": history, "components": comp, "classes": classes, "models": models, "parts": parts,
+            "forecast": forecast, "predictions": cut(table)}
+
+
+def run(
+    raw: DataFrame, variable: str = "temp_max", stage: str = "prediction", max_stations: int | None = None,
+    days: int = fo.DEFAULT_DAYS, thresholds: DataFrame | None = None,
+) -> dict[str, DataFrame]:
+    """Tables of the chosen stage and those before it, with one status row per station.
+
+    A station that cannot be processed has status ``failed`` and a reason; the others go on.
+    """
+    if stage not in STAGES:
+        raise ValueError(f"unknown stage {stage!r}, expected one of {STAGES}")
+    daily = cut(preprocess(raw, max_stations))
+    out = {"daily": daily, "status": qu.series_validity(daily).select(
+        *KEYS, F.when(F.col("verdict") == "valid", "success").otherwise("failed").alias("status"),
+        F.when(F.col("verdict") != "valid", F.col("verdict")).alias("reason"))}
+    if stage == "preprocess":
+        return out
+    filled, report = impute(daily)
+    report = cut(report)
+    out |= {"filled": filled, "report": report, "status": report.select(
+        *KEYS, "status", F.when(F.col("status") == "failed", "nothing_left_after_trimming").alias("reason"))}
+    if stage == "imputation":
+        return out
+    out |= predict(filled, variable, days)
+    done = out["predictions"].filter(F.col("type") == "prediction").groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("predicted_rows"))
+    out["status"] = out["status"].join(done, KEYS, "left").withColumns({
+        "reason": F.coalesce("reason", F.when(F.col("predicted_rows").isNull(), "too_few_rows_for_models")),
+        "status": F.when(F.col("predicted_rows").isNull(), "failed").otherwise(F.col("status")),
+        "predicted_rows": F.coalesce("predicted_rows", F.lit(0).cast("bigint"))})
+    if thresholds is not None:
+        joined = al.alert_threshold_join(out["forecast"].withColumn("variable", F.lit(variable)), thresholds)
+        out["alerts"] = al.alert_message(al.heat_alerts(joined).unionByName(al.cold_alerts(joined)))
+    return out
