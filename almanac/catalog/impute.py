@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.catalog.registry import query
 from almanac.catalog.sql import DAILY, DAILY_SPARSE, LINEAR, linear, near, r
-from almanac.functions.expr import long, rnd
+from almanac.functions.expr import long, rnd, shown
 from almanac.operators import impute as ops
 from almanac.sources import tables as src
 
@@ -132,11 +132,14 @@ DECOMP = """tr AS (SELECT *, (dayofyear(date) - 1) % 365 AS phase,
     CASE WHEN count(*) OVER w = 365 THEN avg(value) OVER w END AS trend
     FROM {src} WINDOW w AS (PARTITION BY station_code ORDER BY pos ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
   ph AS (SELECT station_code, phase, avg(value - trend) AS raw FROM tr GROUP BY 1, 2),
-  ce AS (SELECT station_code, avg(raw) AS centre FROM ph GROUP BY 1),
-  decomp AS MATERIALIZED (SELECT tr.*, coalesce(raw, centre) - centre AS seasonal,
-    value - trend - (coalesce(raw, centre) - centre) AS resid
-    FROM tr JOIN ph ON tr.station_code = ph.station_code AND tr.phase = ph.phase
-    JOIN ce ON tr.station_code = ce.station_code)"""
+  pn AS (SELECT *, last_value(CASE WHEN raw IS NOT NULL THEN phase END IGNORE NULLS) OVER b AS bp, last_value(raw IGNORE NULLS) OVER b AS bv,
+    first_value(CASE WHEN raw IS NOT NULL THEN phase END IGNORE NULLS) OVER a AS ap, first_value(raw IGNORE NULLS) OVER a AS av FROM ph
+    WINDOW b AS (PARTITION BY station_code ORDER BY phase ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+      a AS (PARTITION BY station_code ORDER BY phase ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  pc AS (SELECT *, coalesce(raw, bv + (av - bv) * (CAST(phase - bp AS DOUBLE) / nullif(CAST(ap - bp AS DOUBLE), 0)), bv, av, 0.0) AS cycle FROM pn),
+  ce AS (SELECT station_code, phase, cycle - avg(cycle) OVER (PARTITION BY station_code) AS seasonal FROM pc),
+  decomp AS MATERIALIZED (SELECT tr.*, seasonal, value - trend - seasonal AS resid
+    FROM tr JOIN ce ON tr.station_code = ce.station_code AND tr.phase = ce.phase)"""
 
 
 @query("seasonal_decompose", f"""WITH {DAILY}, {linear('daily', 'filled')}, {DECOMP.format(src='filled')}
@@ -170,10 +173,11 @@ SEAS = DECOMP.format(src="daily") + f""",
 
 @query("impute_seasonal", f"""WITH {DAILY_SPARSE}, {THREE.format(src='daily')}, {SEAS.format(need=730)}
   SELECT station_code, p.station, p.date,
-    {r(f'coalesce(p.value, seas_value, quad, {LINEAR}, prev_value, next_value)')} AS value, p.value IS NULL AS imputed
+    {r(f'coalesce(p.value, seas_value, quad, {LINEAR}, prev_value, next_value)', 2)} AS value, p.value IS NULL AS imputed
   FROM poly p JOIN seas s USING (station_code, pos)""")
 def _(spark, sf):
-    return long(ops.impute_seasonal(src.daily_sparse(spark, sf)), "imputed")
+    d = ops.impute_seasonal(src.daily_sparse(spark, sf))
+    return shown(d, ["station_code", "station", "date", "imputed"], ["value"], 2)
 
 
 @query("impute_auto", f"""WITH {DAILY_SPARSE}, {THREE.format(src='daily')}, {SEAS.format(need=730)},
@@ -183,10 +187,11 @@ def _(spark, sf):
     WHEN len <= 30 THEN 'medium' ELSE 'large' END END AS fill_class FROM c)
   SELECT station_code, station, date, fill_class,
     {r(f'''coalesce(value, CASE fill_class WHEN 'small' THEN {LINEAR} WHEN 'medium' THEN quad
-       ELSE coalesce(seas_value, quad) END, {LINEAR}, prev_value, next_value)''')} AS value,
+       ELSE coalesce(seas_value, quad) END, {LINEAR}, prev_value, next_value)''', 2)} AS value,
     value IS NULL AS imputed FROM k""")
 def _(spark, sf):
-    return long(ops.impute_auto(src.daily_sparse(spark, sf)), "fill_class", "imputed")
+    d = ops.impute_auto(src.daily_sparse(spark, sf))
+    return shown(d, ["station_code", "station", "date", "fill_class", "imputed"], ["value"], 2)
 
 
 REPORT = f"""{BLOCKS}, {TRIM}, {linear('trimmed', 'done')},

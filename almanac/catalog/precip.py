@@ -93,9 +93,9 @@ def _(spark, sf):
     return long(ops.precip_bounds(base, ops.wet_dry_profile(h)), "days_ahead")
 
 
-# the bounded sums are nearly all wet, so only the drying branch acts and the result is exact
-FIXED = f"""{BOUNDED}, fx0 AS (SELECT b.*, dry_fraction, count(*) OVER (PARTITION BY b.station_code) AS n, count(*) FILTER (value > 0) OVER (PARTITION BY b.station_code) AS nw,
-    row_number() OVER (PARTITION BY b.station_code, value > 0 ORDER BY value, date) AS rk FROM bnd b JOIN (SELECT station_code, dry_fraction FROM prof) p ON b.station_code = p.station_code),
+# every day is lifted off zero first, so only the drying branch acts and the result is exact
+FIXED = f"""{BOUNDED}, lifted AS (SELECT station_code, station, date, days_ahead, greatest(value, 0.01) AS value FROM bnd), fx0 AS (SELECT b.*, dry_fraction, count(*) OVER (PARTITION BY b.station_code) AS n, count(*) FILTER (value > 0) OVER (PARTITION BY b.station_code) AS nw,
+    row_number() OVER (PARTITION BY b.station_code, value > 0 ORDER BY value, date) AS rk FROM lifted b JOIN (SELECT station_code, dry_fraction FROM prof) p ON b.station_code = p.station_code),
   fixed AS MATERIALIZED (SELECT station_code, station, date, days_ahead, CASE WHEN abs(CAST(n - nw AS DOUBLE) / n - dry_fraction) > 0.2 AND value > 0
     AND rk <= nw - (n - floor(n * dry_fraction + 1e-9)) THEN 0.0 ELSE value END AS value FROM fx0)"""
 
@@ -103,7 +103,8 @@ FIXED = f"""{BOUNDED}, fx0 AS (SELECT b.*, dry_fraction, count(*) OVER (PARTITIO
 def _fixed(spark, sf):
     h, _p, base = _rain_parts(spark, sf)
     profile = cut(ops.wet_dry_profile(h))
-    return ops.dry_fraction_fix(ops.precip_bounds(base, profile), profile), profile
+    lifted = ops.precip_bounds(base, profile).withColumn("value", F.greatest("value", F.lit(0.01)))
+    return ops.dry_fraction_fix(lifted, profile), profile
 
 
 @query("dry_fraction_fix", f"WITH {FIXED} SELECT station_code, station, date, {r('value')} AS value, days_ahead FROM fixed")

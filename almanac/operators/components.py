@@ -184,13 +184,12 @@ def lag_products(comp: DataFrame, max_lag: int, keys: list[str] = CKEYS) -> Data
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         v, own = pdf["value"].to_numpy(dtype=float), pdf["core"].to_numpy(dtype=bool)
-        first = int(np.argmax(own)) if own.any() else len(v)
-        mine = v[first:]
+        # own rows are contiguous; a block past the end of the series has none
+        mine = np.flatnonzero(own)
         out = []
         for lag in range(0, max_lag + 1):
-            lo = first - lag
-            before = v[max(lo, 0): len(v) - lag]
-            out.append((lag, float(mine[len(mine) - len(before):] @ before) if len(before) else 0.0))
+            at = mine[mine >= lag]
+            out.append((lag, float(v[at] @ v[at - lag])))
         head = {k: pdf[k].iloc[0] for k in keys}
         return pd.DataFrame([{**head, "lag": k, "product": p} for k, p in out])
 

@@ -169,9 +169,18 @@ def seasonal_decompose(df: DataFrame, period: int = PERIOD, keys: list[str] = KE
     t = t.withColumn("trend", F.when(F.col("trend_rows") == 2 * half + 1, F.col("trend"))).drop("trend_rows")
     t = t.withColumn("phase", F.pmod(F.dayofyear("date") - 1, F.lit(period)))
     by_phase = t.groupBy(*keys, "phase").agg(F.avg(F.col("value") - F.col("trend")).alias("raw"))
-    # at most ``period`` rows per station
-    centre = F.avg("raw").over(Window.partitionBy(*keys))
-    seasonal = by_phase.select(*keys, "phase", (F.coalesce("raw", centre) - centre).alias("seasonal"))
+    # at most ``period`` rows per station; a phase never measured lies between its neighbours
+    known = F.when(F.col("raw").isNotNull(), F.struct(F.col("phase").alias("p"), F.col("raw").alias("v")))
+    near = blocks.carry(
+        by_phase.withColumns({"pos": F.col("phase"), "pt": known}), keys,
+        {"before": ("pt", "back", True), "after": ("pt", "ahead", True)})
+    cycle = F.coalesce(
+        F.col("raw"),
+        F.col("before.v") + (F.col("after.v") - F.col("before.v"))
+        * div(F.col("phase") - F.col("before.p"), F.col("after.p") - F.col("before.p")),
+        F.col("before.v"), F.col("after.v"), F.lit(0.0))
+    centre = F.avg("cycle").over(Window.partitionBy(*keys))
+    seasonal = near.withColumn("cycle", cycle).select(*keys, "phase", (F.col("cycle") - centre).alias("seasonal"))
     return t.join(seasonal, [*keys, "phase"]).withColumn(
         "resid", F.col("value") - F.col("trend") - F.col("seasonal")
     )
