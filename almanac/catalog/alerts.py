@@ -8,32 +8,35 @@ from almanac.catalog.registry import query
 from almanac.catalog.sql import FILLED, THRESHOLDS, r
 from almanac.functions.expr import rnd, shown
 from almanac.operators import alerts as ops
+from almanac.operators.impute import impute_linear
+from almanac.operators.reshape import calendar_spine
 from almanac.sources import tables as src
 
 
-def predictions(spark, sf):
+def predictions(spark, sf, of=None):
     """The filled series read as predictions from the station's first day on; even codes as
     maximum, odd ones as minimum temperature. Every third station only has its code in its name."""
     code = F.col("station_code")
-    return src.filled(spark, sf).select(
+    filled = src.filled(spark, sf) if of is None else impute_linear(calendar_spine(of))
+    return filled.select(
         F.when(code % 3 != 2, code).alias("station_code"),
         F.concat(code.cast("string"), F.lit("_"), F.col("station")).alias("station"), "date", "value",
         F.when(code % 2 == 0, "temp_max").otherwise("temp_min").alias("variable"),
         (F.col("pos") - 1).cast("int").alias("days_ahead"))
 
 
-def limits(spark, sf):
+def limits(spark, sf, of=None):
     """Thresholds of all stations but every fifth."""
-    return src.thresholds(spark, sf).filter(F.col("station_code") % 5 != 4)
+    return src.thresholds(spark, sf, of).filter(F.col("station_code") % 5 != 4)
 
 
 def joined(spark, sf):
-    return ops.alert_threshold_join(predictions(spark, sf), limits(spark, sf))
+    s = src.series_table(spark, sf)
+    return ops.alert_threshold_join(predictions(spark, sf, s), limits(spark, sf, s))
 
 
 def all_alerts(spark, sf):
-    j = joined(spark, sf)
-    return ops.heat_alerts(j).unionByName(ops.cold_alerts(j))
+    return ops.detect_alerts(joined(spark, sf))
 
 
 ALERTS = f"""{FILLED}, {THRESHOLDS},
@@ -65,7 +68,8 @@ def _(spark, sf):
 
 @query("stations_without_thresholds", f"WITH {ALERTS} SELECT DISTINCT code, station FROM pred WHERE code NOT IN (SELECT code FROM lim)")
 def _(spark, sf):
-    return ops.stations_without_thresholds(predictions(spark, sf), limits(spark, sf))
+    s = src.series_table(spark, sf)
+    return ops.stations_without_thresholds(predictions(spark, sf, s), limits(spark, sf, s))
 
 
 @query("heat_alerts", f"WITH {ALERTS} SELECT {_AS} FROM alerts WHERE alert_type LIKE 'heat%'")

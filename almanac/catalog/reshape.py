@@ -53,7 +53,7 @@ _FREQ = """CASE WHEN gap_seconds <= 3600 THEN 'H' WHEN gap_seconds <= 86400 THEN
   k AS (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY n DESC, gap_seconds) AS rk FROM c)
   SELECT station_code, station, {r('gap_seconds', 3)} AS gap_seconds, {_FREQ} AS frequency FROM k WHERE rk = 1""")
 def _(spark, sf):
-    return ops.detect_frequency(src.series(spark, sf)).withColumn("gap_seconds", rnd("gap_seconds", 3))
+    return ops.detect_frequency(src.series_table(spark, sf)).withColumn("gap_seconds", rnd("gap_seconds", 3))
 
 
 @query("detect_frequency_events", f"""WITH {_gaps('events', 'event_type', 'ts')},
@@ -71,7 +71,7 @@ def _(spark, sf):
    avg(CASE WHEN gap_seconds BETWEEN 77760.0 AND 95040.0 THEN 1.0 ELSE 0.0 END) >= 0.8 AS consistent
   FROM g GROUP BY 1, 2""")
 def _(spark, sf):
-    return ops.frequency_consistency(src.series(spark, sf)).withColumn("share", rnd("share"))
+    return ops.frequency_consistency(src.series_table(spark, sf)).withColumn("share", rnd("share"))
 
 
 def _rows(where):
@@ -100,14 +100,14 @@ def _(spark, sf):
 
 @query("limit_stations", _rows("station_code < 5"))
 def _(spark, sf):
-    return long(ops.limit_stations(src.series(spark, sf), 5))
+    return long(ops.limit_stations(src.series_table(spark, sf), 5))
 
 
 @query("distinct_stations", f"""WITH {SERIES}
   SELECT DISTINCT station_code, station, count(*) OVER () AS n_stations
   FROM (SELECT DISTINCT station_code, station FROM series)""")
 def _(spark, sf):
-    s = ops.distinct_stations(src.series(spark, sf))
+    s = ops.distinct_stations(src.series_table(spark, sf))
     # the number of stations as a scalar beside each: a single-row aggregate
     total = s.agg(F.count(F.lit(1)).alias("n_stations"))
     return s.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
@@ -172,7 +172,7 @@ def _(spark, sf):
     {r('avg(value)')} AS value, count(value) AS rows_merged
   FROM series f JOIN s ON f.station_code = s.station_code GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return ops.downsample_mean(src.series(spark, sf), 2, 500).withColumn("value", rnd("value"))
+    return ops.downsample_mean(src.series_table(spark, sf), 2, 500).withColumn("value", rnd("value"))
 
 
 @query("downsample_stride", f"""WITH {SERIES},

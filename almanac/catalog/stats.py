@@ -9,6 +9,8 @@ from almanac.catalog.registry import query
 from almanac.catalog.sql import DAILY, DAILY_SPARSE, FILLED, linear, r
 from almanac.functions.expr import rnd, shown
 from almanac.operators import stats as ops
+from almanac.operators.impute import impute_linear
+from almanac.plans.lineage import cut
 from almanac.sources import tables as src
 
 KEYS = ["station_code", "station"]
@@ -110,13 +112,9 @@ BOTH = f"""{DAILY}, {linear('daily', 'filled')},
 
 
 def _both(spark, sf):
+    """Both states of the series, written once: the reports read them several times."""
     daily = src.daily(spark, sf)
-    return ops.versions(daily, ops_impute_linear(daily))
-
-
-def ops_impute_linear(daily):
-    from almanac.operators.impute import impute_linear
-    return impute_linear(daily)
+    return cut(ops.versions(daily, impute_linear(daily)))
 
 
 def _piv(c):

@@ -42,27 +42,35 @@ def stations_without_thresholds(predictions: DataFrame, thresholds: DataFrame) -
     return stations.join(thresholds.select(F.col("station_code").alias("code")), "code", "left_anti")
 
 
-def _alerts(joined: DataFrame, variable: str, extreme: Column, moderate: Column, hits, names) -> DataFrame:
-    v = F.col("value")
-    kind = F.when(hits(v, extreme), names[1]).when(hits(v, moderate), names[0])
-    is_extreme = F.col("alert_type") == names[1]
-    return joined.filter(F.col("variable") == variable).withColumn("alert_type", kind).filter(
-        F.col("alert_type").isNotNull()
-    ).select(
-        F.col("code").alias("station_code"), F.col("station").alias("station_name"), "alert_type",
-        F.when(is_extreme, CRITICAL).otherwise(WARNING).alias("severity"), "date",
-        v.alias("predicted_value"), F.when(is_extreme, extreme).otherwise(moderate).alias("threshold_value"),
-        F.col("variable").alias("variable_type"), "days_ahead")
+def detect_alerts(joined: DataFrame) -> DataFrame:
+    """Heat and cold alerts in one pass; the extreme limit is tested first.
+
+    Maximum temperature at or over the 95th percentile is critical, over the 90th a warning;
+    minimum temperature at or under the 5th is critical, under the 10th a warning.
+    """
+    v, hot, cold = F.col("value"), F.col("variable") == "temp_max", F.col("variable") == "temp_min"
+    rules = (
+        (hot & (v >= F.col("p95_tmax")), HEAT_EXTREME, CRITICAL, "p95_tmax"),
+        (hot & (v >= F.col("p90_tmax")), HEAT, WARNING, "p90_tmax"),
+        (cold & (v <= F.col("p5_tmin")), COLD_EXTREME, CRITICAL, "p5_tmin"),
+        (cold & (v <= F.col("p10_tmin")), COLD, WARNING, "p10_tmin"),
+    )
+    hit = F.lit(None)
+    for cond, kind, severity, limit in reversed(rules):
+        found = F.struct(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.col(limit).alias("threshold"))
+        hit = F.when(cond, found).otherwise(hit)
+    return joined.withColumn("hit", hit).filter(F.col("hit").isNotNull()).select(
+        F.col("code").alias("station_code"), F.col("station").alias("station_name"), F.col("hit.kind").alias("alert_type"),
+        F.col("hit.severity").alias("severity"), "date", v.alias("predicted_value"),
+        F.col("hit.threshold").alias("threshold_value"), F.col("variable").alias("variable_type"), "days_ahead")
 
 
 def heat_alerts(joined: DataFrame) -> DataFrame:
-    """Maximum temperature at or over the 95th percentile is critical, over the 90th a warning."""
-    return _alerts(joined, "temp_max", F.col("p95_tmax"), F.col("p90_tmax"), lambda v, t: v >= t, (HEAT, HEAT_EXTREME))
+    return detect_alerts(joined.filter(F.col("variable") == "temp_max"))
 
 
 def cold_alerts(joined: DataFrame) -> DataFrame:
-    """Minimum temperature at or under the 5th percentile is critical, under the 10th a warning."""
-    return _alerts(joined, "temp_min", F.col("p5_tmin"), F.col("p10_tmin"), lambda v, t: v <= t, (COLD, COLD_EXTREME))
+    return detect_alerts(joined.filter(F.col("variable") == "temp_min"))
 
 
 def alert_message(alerts: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.functions.expr import count_where, div, pearson
@@ -45,13 +45,9 @@ def _sum_abs_from(arr: Column, centre: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0), lambda acc, x: acc + F.abs(x - centre))
 
 
-def _moment_exprs(v: str, frame: WindowSpec, full: Column, name) -> dict[str, Column]:
-    """Population skewness and excess kurtosis over a frame, 0 where nothing varies."""
-    varies = full & (F.stddev_pop(v).over(frame) > TINY)
-    return {
-        name("skew"): F.when(varies, F.skewness(v).over(frame)).otherwise(0.0),
-        name("kurt"): F.when(varies, F.kurtosis(v).over(frame)).otherwise(0.0),
-    }
+def _if_varies(raw: str, std: str, full: Column) -> Column:
+    """A standardised moment where the window is full and something varies, else 0."""
+    return F.when(full & (F.col(std) > TINY), F.col(raw)).otherwise(0.0)
 
 
 def rolling_stats(df: DataFrame, windows=ROLLING, keys: list[str] = KEYS) -> DataFrame:
@@ -73,7 +69,9 @@ def rolling_stats(df: DataFrame, windows=ROLLING, keys: list[str] = KEYS) -> Dat
         first[f"sorted_{n}"] = F.sort_array(F.collect_list("value").over(frame))
         first[f"mean_{n}"] = when(F.avg("value").over(frame))
         first[f"std_{n}"] = when(F.stddev_pop("value").over(frame))
-        first.update(_moment_exprs("value", frame, full, lambda k, n=n: f"{k}_{n}"))
+        first[f"rs_{n}"], first[f"rk_{n}"] = F.skewness("value").over(frame), F.kurtosis("value").over(frame)
+        second[f"skew_{n}"] = _if_varies(f"rs_{n}", f"std_{n}", full)
+        second[f"kurt_{n}"] = _if_varies(f"rk_{n}", f"std_{n}", full)
         first[f"up_{n}"] = when(F.sum("rise").over(diffs) / (n - 1))
         arr = F.col(f"sorted_{n}")
         second[f"min_{n}"] = when(F.get(arr, F.lit(0)))
@@ -85,7 +83,7 @@ def rolling_stats(df: DataFrame, windows=ROLLING, keys: list[str] = KEYS) -> Dat
         second[f"var_{n}"] = F.col(f"std_{n}") * F.col(f"std_{n}")
         second[f"mad_{n}"] = when(_sum_abs_from(arr, F.col(f"mean_{n}")) / n)
     out = blocks.core(base.withColumns(first).withColumns(second))
-    return out.drop("rise", *[f"sorted_{n}" for n in windows])
+    return out.drop("rise", *[f"{c}_{n}" for n in windows for c in ("sorted", "rs", "rk")])
 
 
 ROLLING_NAMES = ("mean", "std", "min", "max", "range", "median", "skew", "kurt",
@@ -170,7 +168,7 @@ def volatility(df: DataFrame, windows=VOLATILITY, keys: list[str] = KEYS) -> Dat
     prev = F.lag("value").over(w)
     base = blocks.halo(df, keys, before=max(windows)).withColumn("ret", div(F.col("value") - prev, prev))
     base = base.withColumns({"ret_abs": F.abs("ret"), "ret_sq": F.col("ret") * F.col("ret")})
-    out = {}
+    out, moments = {}, {}
     for n in windows:
         frame = w.rowsBetween(-(n - 2), 0)
         full = F.col("pos") >= n
@@ -179,8 +177,11 @@ def volatility(df: DataFrame, windows=VOLATILITY, keys: list[str] = KEYS) -> Dat
             "var": F.var_pop("ret"), "mean_sq": F.avg("ret_sq"), "std_sq": F.stddev_pop("ret_sq"),
         }
         out |= {f"{k}_{n}": F.when(full, c.over(frame)).otherwise(0.0) for k, c in plain.items()}
-        out.update(_moment_exprs("ret", frame, full, lambda k, n=n: f"{k}_{n}"))
-    return blocks.core(base.withColumns(out)).drop("ret", "ret_abs", "ret_sq")
+        out[f"rs_{n}"], out[f"rk_{n}"] = F.skewness("ret").over(frame), F.kurtosis("ret").over(frame)
+        moments[f"skew_{n}"] = _if_varies(f"rs_{n}", f"std_{n}", full)
+        moments[f"kurt_{n}"] = _if_varies(f"rk_{n}", f"std_{n}", full)
+    done = blocks.core(base.withColumns(out).withColumns(moments))
+    return done.drop("ret", "ret_abs", "ret_sq", *[f"{c}_{n}" for n in windows for c in ("rs", "rk")])
 
 
 VOLATILITY_NAMES = ("std", "mean_abs", "max_abs", "var", "skew", "kurt", "mean_sq", "std_sq")

@@ -84,17 +84,17 @@ def calendar_spine(df: DataFrame, keys: list[str] = KEYS, frequency: str = "D")
 def date_gaps(df: DataFrame, keys: list[str] = KEYS, date: str = "date") -> DataFrame:
     """Distances in seconds between neighbouring dates of a station.
 
-    Only distinct instants count. Days are the unit of splitting: each day knows the last
-    instant of the day before it that has any, so no window spans a whole station's rows.
+    Only distinct instants count. Minutes are the unit of splitting: each minute with rows
+    knows the last instant before it, so no window spans a whole station's records.
     """
     t = df.select(*keys, F.col(date).cast("timestamp").alias("t")).distinct()
-    by_day = t.withColumn("d", F.to_date("t"))
-    last = by_day.groupBy(*keys, "d").agg(F.max("t").alias("day_last"))
+    by_minute = t.withColumn("d", F.date_trunc("minute", "t"))
+    last = by_minute.groupBy(*keys, "d").agg(F.max("t").alias("minute_last"))
     w = Window.partitionBy(*keys).orderBy("d")
-    before = last.select(*keys, "d", F.lag("day_last").over(w).alias("t_in"))
+    before = last.select(*keys, "d", F.lag("minute_last").over(w).alias("t_in"))
     inner = Window.partitionBy(*keys, "d").orderBy("t")
     return (
-        by_day.withColumn("t_prev", F.lag("t").over(inner))
+        by_minute.withColumn("t_prev", F.lag("t").over(inner))
         .join(before, [*keys, "d"])
         .withColumn("t_prev", F.coalesce("t_prev", "t_in"))
         .filter(F.col("t_prev").isNotNull())

@@ -7,7 +7,7 @@ sums, numbering) therefore run per station by default, in one pass and one shuff
 
 Two tools split a station further:
 
-* ``halo`` cuts positions into blocks of ``BLOCK`` steps and copies the rows just outside a
+* ``halo`` cuts positions into blocks (``block_size``) and copies the rows just outside a
   block into it. All frames of bounded reach use it, because their work per row is heavy.
 * ``split=True`` on ``carry``, ``running_sums`` and ``number_rows`` combines one summary row
   per block and joins it back. It is for series without the daily bound, such as readings
@@ -22,6 +22,11 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
+def block_size(reach: int) -> int:
+    """Small blocks balance tasks, but the copied rows should stay an eighth of a block at most."""
+    return min(BLOCK, max(512, 8 * reach))
+
+
 def block_window(keys: list[str], order: str = "pos") -> WindowSpec:
     return Window.partitionBy(*keys, "block").orderBy(order)
 
@@ -38,7 +43,7 @@ def spread(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def halo(df: DataFrame, keys: list[str], before: int = 0, after: int = 0, size: int = 0) -> DataFrame:
     """Add ``block`` and ``core``; rows near an edge are copied to the blocks whose frames reach them."""
-    size = size or BLOCK
+    size = size or block_size(before + after)
     own = F.floor((F.col("pos") - 1) / size)
     first = F.greatest(F.floor((F.col("pos") - 1 - after) / size), F.lit(0).cast("bigint"))
     last = F.floor((F.col("pos") - 1 + before) / size)

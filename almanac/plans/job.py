@@ -34,7 +34,7 @@ def preprocess(raw: DataFrame, max_stations: int | None = None) -> DataFrame:
     once = long.groupBy(*KEYS, "date").agg(F.min("value").alias("value"))
     if max_stations is not None:
         once = re_.limit_stations(once, max_stations)
-    return re_.calendar_spine(once)
+    return re_.calendar_spine(cut(once))
 
 
 def impute(daily: DataFrame, max_block: int = im.LARGE_TRIM) -> tuple[DataFrame, DataFrame]:
@@ -95,5 +95,5 @@ def run(
         "predicted_rows": F.coalesce("predicted_rows", F.lit(0).cast("bigint"))})
     if thresholds is not None:
         joined = al.alert_threshold_join(out["forecast"].withColumn("variable", F.lit(variable)), thresholds)
-        out["alerts"] = al.alert_message(al.heat_alerts(joined).unionByName(al.cold_alerts(joined)))
+        out["alerts"] = al.alert_message(al.detect_alerts(joined))
     return out

@@ -4,9 +4,9 @@
 values. It is meant for daily station series: one value per station and date, so a group
 is bounded by the days of the calendar, however much raw data stands behind it.
 
-``exact_quantiles`` has no such bound on the group. A sketch brackets each wanted rank,
-one aggregation counts what lies below the bracket, and only the bracketed values are
-grouped and ordered.
+``exact_quantiles`` has no such bound on the group. A sketch brackets each wanted rank; a
+second pass counts what lies below each bracket and keeps the distinct values inside it,
+combined before the shuffle; only those are ordered.
 """
 
 from __future__ import annotations
@@ -50,25 +50,15 @@ def exact_quantiles(
         ]).alias("bands"),
     )
     marked = known.select(*keys, F.col(value).alias("v")).join(brackets, keys)
-    below = marked.groupBy(*keys).agg(
-        *[F.sum(F.when(F.col("v") < F.col("bands")[i]["lo"], 1).otherwise(0)).alias(f"below_{n}")
-          for i, n in enumerate(names)]
-    ).select(*keys, F.map_from_arrays(
-        F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"below_{n}") for n in names])
-    ).alias("below"))
-    inside = (
-        marked.withColumn(
-            "band", F.explode(F.filter("bands", lambda b: (F.col("v") >= b["lo"]) & (F.col("v") <= b["hi"])))
-        )
-        .groupBy(*keys, F.col("band.name").alias("name"), F.col("band.rank").alias("rank"), "v")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    w = Window.partitionBy(*keys, "name").orderBy("v")
-    placed = (
-        inside.join(below, keys)
-        .withColumn("upto", F.sum("c").over(w) + F.col("below")[F.col("name")])
-        .withColumn("from", F.col("upto") - F.col("c"))
-    )
+    # per band: values inside it stay, all values below it fall into one null entry, those above are not needed
+    entries = F.transform(
+        F.filter("bands", lambda b: F.col("v") <= b["hi"]),
+        lambda b: F.struct(b["name"].alias("name"), b["rank"].alias("rank"), F.when(F.col("v") >= b["lo"], F.col("v")).alias("v")))
+    counted = marked.select(*keys, F.explode(entries).alias("e")).groupBy(
+        *keys, F.col("e.name").alias("name"), F.col("e.rank").alias("rank"), F.col("e.v").alias("v")
+    ).agg(F.count(F.lit(1)).alias("c"))
+    w = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
+    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("from", F.col("upto") - F.col("c"))
     lo_rank, hi_rank = F.floor("rank"), F.ceil("rank")
 
     def at(rank):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators.impute import impute_linear
 from almanac.operators.reshape import calendar_spine
+from almanac.plans.lineage import cut
 from almanac.plans.quantiles import series_quantiles
 
 KEYS = ["station_code", "station"]
@@ -47,13 +48,21 @@ def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``series`` written once: one row per station and day, read by several branches.
+
+    Without it every branch would scan and aggregate the line items again.
+    """
+    return cut(series(spark, sf_dir))
+
+
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``series`` on its complete calendar, with positions."""
-    return calendar_spine(series(spark, sf_dir))
+    return calendar_spine(series_table(spark, sf_dir))
 
 
 def daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar_spine(sparse(spark, sf_dir))
+    return calendar_spine(cut(sparse(spark, sf_dir)))
 
 
 def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +82,7 @@ def rain(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("station_code") == F.col("n_nationkey"))
         .select("station_code", F.col("n_name").alias("station"), "date", "value")
     )
-    return calendar_spine(counts).fillna({"value": 0.0})
+    return calendar_spine(cut(counts)).fillna({"value": 0.0})
 
 
 SENTINELS = ("*", "nan", "NaN", "")
@@ -93,10 +102,10 @@ def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).agg(*cells)
 
 
-def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+def thresholds(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
     """Per-station percentile thresholds, the same for both variables."""
     q = series_quantiles(
-        series(spark, sf_dir), KEYS, {"p5": 0.05, "p10": 0.10, "p90": 0.90, "p95": 0.95}
+        series(spark, sf_dir) if of is None else of, KEYS, {"p5": 0.05, "p10": 0.10, "p90": 0.90, "p95": 0.95}
     )
     return q.select(
         *KEYS,
