@@ -37,14 +37,15 @@ def exact_quantiles(
     known = df.filter(F.col(value).isNotNull())
     brackets = known.groupBy(*keys).agg(
         F.percentile_approx(value, edges, accuracy * 10).alias("edges"),
-        F.count(F.lit(1)).alias("n"),
+        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
     ).select(
         *keys, "n",
         F.array(*[
             F.struct(
                 F.lit(n).alias("name"),
-                F.col("edges")[2 * i].alias("lo"),
-                F.col("edges")[2 * i + 1].alias("hi"),
+                # a bracket narrower than a few ranks could miss one; such groups are small, take them whole
+                F.when(F.col("n") * slack < 4, F.col("low")).otherwise(F.col("edges")[2 * i]).alias("lo"),
+                F.when(F.col("n") * slack < 4, F.col("high")).otherwise(F.col("edges")[2 * i + 1]).alias("hi"),
                 ((F.col("n") - 1) * F.lit(float(probs[n]))).alias("rank"),
             ) for i, n in enumerate(names)
         ]).alias("bands"),

@@ -69,11 +69,12 @@ def test_frames_do_not_depend_on_blocks(gappy, size, monkeypatch):
         assert got == expected
 
 
-def test_exact_quantiles_equal_percentile(spark):
-    df = spark.range(20000).select(
+@pytest.mark.parametrize("rows_in, accuracy", [(20000, 100), (20000, 1000), (900, 1000), (12, 1000)])
+def test_exact_quantiles_equal_percentile(spark, rows_in, accuracy):
+    df = spark.range(rows_in).select(
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 5).cast("string"))).alias("k"),
         F.when(F.col("id") % 11 == 0, 5.0).otherwise(F.pmod(F.xxhash64("id"), F.lit(5003)) / 7.0).alias("value"))
     probs = {"lo": 0.0, "q1": 0.25, "med": 0.5, "p95": 0.95, "hi": 1.0}
     a = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in series_quantiles(df, ["k"], probs).collect())
-    b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in exact_quantiles(df, ["k"], probs, accuracy=100).collect())
+    b = sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in exact_quantiles(df, ["k"], probs, accuracy=accuracy).collect())
     assert a == b
