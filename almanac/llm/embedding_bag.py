@@ -150,7 +150,7 @@ def sample(labelled: DataFrame, s: Settings) -> tuple[pd.DataFrame, float]:
                      pa.array([x.astype(np.float32) for x in shares], pa.list_(pa.float32()))],
                     ["doc_id", "label", "ids", "shares"])
     made = texts.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, ids array<int>, shares array<float>")
-    return (made.toPandas().sort_values("doc_id", ignore_index=True),
+    return (made.toArrow().to_pandas().sort_values("doc_id", ignore_index=True),
             float(np.log((n.get(1, 0) + 0.5) / (n.get(0, 0) + 0.5))))
 
 

@@ -142,7 +142,7 @@ def fit(docs: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS)
         F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
     tops = [kept.where(F.col("size") == 0).orderBy(F.desc("total"), "key").limit(top_words),
             kept.where(F.col("size") > 0).orderBy(F.desc("total"), "key").limit(top_grams)]
-    counts = tops[0].unionAll(tops[1]).select("key", "size", F.inline("each")).toPandas()
+    counts = tops[0].unionAll(tops[1]).select("key", "size", F.inline("each")).toArrow().to_pandas()
     return Model(counts, sorted(counts["lang"].unique()))
 
 
