@@ -5,8 +5,9 @@ text. A word known in any language scores its smoothed log relative frequency in
 unseen word the longest character n-grams of it that are known anywhere are averaged; if none of
 that length is known, shorter ones are tried, down to single characters.
 
-Words and n-grams are counted over all rows that may be learned from. The model keeps the
-``top`` most frequent words and n-grams, a documented bound on what is sent to executors.
+Words and n-grams are counted over at most ``ROWS`` rows that may be learned from, dealt evenly
+over languages. The model keeps the ``TOP_WORDS`` most frequent words and ``TOP_GRAMS`` n-grams:
+documented bounds on what is learned from and sent to executors. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.embedding_bag import held_out
 from almanac.llm.hashing import mix, seeds, slices
 
+ROWS = 6_000
 TOP_WORDS = 50_000
 TOP_GRAMS = 100_000
 LONGEST = 5
@@ -133,10 +135,18 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
-    """Counts over every given row with a non-null ``lang``; the most frequent are kept (ties by key)."""
-    counted = (docs.where("lang is not null and text is not null").select("text", "lang")
-               .mapInArrow(_counts, "key long, size int, lang string, n long")
+def sample(docs: DataFrame, rows: int) -> DataFrame:
+    """(text, lang) of at most ``rows`` rows with a language, dealt evenly over languages by a hash of the id."""
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = (docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+           .withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= rows)
+           .orderBy("turn", "lang", "doc_id").limit(rows).select("doc_id", "lang"))
+    return docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
+
+
+def fit(docs: DataFrame, rows: int = ROWS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
+    """Counts over at most ``rows`` rows; the most frequent words and n-grams are kept (ties by key)."""
+    counted = (sample(docs, rows).mapInArrow(_counts, "key long, size int, lang string, n long")
                .groupBy("key", "size", "lang").agg(F.sum("n").alias("n")))
     kept = counted.groupBy("key", "size").agg(
         F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
