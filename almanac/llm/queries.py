@@ -14,6 +14,7 @@ from almanac.llm.sentencepiece import pieces
 from almanac.llm.simple8b import token_files
 from almanac.llm.topk import finite, top_k
 from almanac.llm.toxicity import toxicity
+from almanac.llm.vectors import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -74,3 +75,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language_id")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(_read(spark, sf_dir, "documents"))
+
+
+@query("op10_embedding_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
