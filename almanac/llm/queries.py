@@ -16,6 +16,7 @@ from almanac.llm.simple8b import token_files
 from almanac.llm.topk import finite, top_k
 from almanac.llm.toxicity import toxicity
 from almanac.llm.vectors import near_vectors
+from almanac.llm.windows import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +55,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 @query("op7_sentencepiece")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
