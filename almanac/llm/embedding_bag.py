@@ -248,6 +248,17 @@ def score(docs: DataFrame, model: Model, s: Settings) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
+def below(docs: DataFrame, model: Model, s: Settings, cut: float) -> DataFrame:
+    """The rows of ``docs`` that score below ``cut``, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array(score_texts(part.column("text"), shared.value, s) < cut))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(modulus: int, remainder: int):
     """Whether the id's remainder keeps the row's label from the fit; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -19,13 +19,18 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remai
     model's bias as its score. Rows with a null or repeated doc_id are scored like others; without
     labels of both classes all scores are equal. No documents give no rows.
     """
+    model = fit(docs, labels, label, modulus, remainder, settings)
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return bag.score(plain, model, settings).select(
+        "doc_id", bag.held_out(modulus, remainder).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, settings: bag.Settings) -> bag.Model:
+    """The model learned from the labelled documents that aren't held out."""
     marks = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    fit_on = plain.where(~bag.held_out(modulus, remainder)).join(marks, "doc_id").dropDuplicates(["doc_id"])
-    rows, odds = bag.sample(fit_on, settings)
-    scored = bag.score(plain, bag.train(rows, settings, odds), settings)
-    return scored.select("doc_id", bag.held_out(modulus, remainder).alias("held_out"), "score",
-                         (F.col("score") >= cut).cast("int").alias("predicted"))
+    rows, odds = bag.sample(plain.where(~bag.held_out(modulus, remainder)).join(marks, "doc_id"), settings)
+    return bag.train(rows.drop_duplicates("doc_id"), settings, odds)
 
 
 def quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, settings: bag.Settings = SETTINGS) -> DataFrame:

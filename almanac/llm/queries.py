@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from almanac.llm.icws import near_duplicates
 from almanac.llm.langid import language
+from almanac.llm.mixing import mix_documents
+from almanac.llm.mixing import sql as mixing_sql
 from almanac.llm.quality import quality
 from almanac.llm.sentencepiece import pieces
 from almanac.llm.simple8b import token_files
@@ -40,6 +42,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), 0.8)
 
 
+@query("op2_source_mixing", mixing_sql())
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(_read(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("mix_tokens").alias("n_tokens"), F.round("mix_probability", 6).alias("probability"),
+        F.col("mix_sampled").alias("sampled"))
+
+
 @query("op3_quality_classifier")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))

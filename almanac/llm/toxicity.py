@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from almanac.llm import embedding_bag as bag
-from almanac.llm.quality import classify
+from almanac.llm.quality import classify, fit
 
 SETTINGS = bag.Settings(bits=20, dim=8, grams=(3, 4, 5), pairs=False, strip=True, min_texts=5, rows=2500, epochs=8,
                         rate=0.3, scale=100.0)
@@ -21,3 +21,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, settings: bag
     Null, empty and repeated rows are as in ``quality.classify``.
     """
     return classify(docs, labels, "toxic", 3, 1, cut, settings)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = 0.7, settings: bag.Settings = SETTINGS) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    return bag.below(docs, fit(docs, labels, "toxic", 3, 1, settings), settings, cut)

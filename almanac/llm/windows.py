@@ -293,24 +293,26 @@ def _merged(spans: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` without the words of spans that aren't kept; rows and columns stay, ``n_chars`` follows the text."""
-    out = spans.where("not kept").groupBy(F.col("doc_id").alias("span_doc")).agg(
-        F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("spans"))
-    schema = docs.schema
+    """``docs`` without the words of spans that aren't kept, and ``__was_cut``; rows and columns stay, ``n_chars`` follows the text."""
+    out = spans.where("not kept").groupBy(F.col("doc_id").alias("__span_doc")).agg(
+        F.array_sort(F.collect_list(F.struct("start_word", "end_word"))).alias("__spans"))
+    schema = docs.withColumn("__was_cut", F.lit(True)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of, texts = batch.column("spans").to_pylist(), batch.column("text").to_pylist()
-            for k, own in enumerate(spans_of):
-                if own and texts[k] is not None:
-                    texts[k] = cut_words(texts[k], [(s["start_word"], s["end_word"]) for s in own])
-            yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string())).select(schema.names)
-
-    joined = docs.join(out, docs["doc_id"] == F.col("span_doc"), "left").drop("span_doc")
-    cleaned = joined.where("spans is not null").mapInArrow(run, schema)
+            spans_of, texts = batch.column("__spans").to_pylist(), batch.column("text").to_pylist()
+            cut_here = [bool(own) and text is not None for own, text in zip(spans_of, texts)]
+            texts = [cut_words(text, [(s["start_word"], s["end_word"]) for s in own]) if yes else text
+                     for yes, own, text in zip(cut_here, spans_of, texts)]
+            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+            yield batch.append_column("__was_cut", pa.array(cut_here)).select(schema.names)
+
+    joined = docs.join(out, docs["doc_id"] == F.col("__span_doc"), "left").drop("__span_doc")
+    cleaned = joined.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
-    return joined.where("spans is null").drop("spans").unionByName(cleaned)
+        n = F.when(F.col("__was_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", n)
+    return cleaned
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
