@@ -174,7 +174,7 @@ def train(rows: pd.DataFrame, s: Settings, odds: float = 0.0) -> Model:
     texts = np.bincount(np.concatenate(ids), minlength=1 << s.bits)
     usual = texts >= s.min_texts
     vectors[~usual] = 0
-    ids, shares = [x[usual[x]] for x in ids], [v[usual[x]] for x, v in zip(ids, shares)]
+    ids, shares = [x[usual[x]] for x in ids], [v[usual[x]].astype(np.float32) for x, v in zip(ids, shares)]
     order = rng.permutation(len(y))
     batches = []
     for at in range(0, len(y), s.batch):
@@ -185,10 +185,11 @@ def train(rows: pd.DataFrame, s: Settings, odds: float = 0.0) -> Model:
         flat = [ids[t] for t in take]
         sizes = np.array([len(x) for x in flat])
         flat, share = np.concatenate(flat), np.concatenate([shares[t] for t in take]).astype(np.float32)
-        text = np.repeat(np.arange(len(take)), sizes)
-        by = np.argsort(flat, kind="stable")
-        own = np.flatnonzero(np.diff(flat[by], prepend=-1))
+        text = np.repeat(np.arange(len(take), dtype=np.int32), sizes)
+        by = np.argsort(flat, kind="stable").astype(np.int32)
+        own = np.flatnonzero(np.diff(flat[by], prepend=-1)).astype(np.int32)
         batches.append((flat, share[:, None], np.concatenate([[0], np.cumsum(sizes)[:-1]]), text, by, flat[by][own], own, y[take]))
+    del ids, shares, rows
     steps, step = s.epochs * len(batches), 0
     for _ in range(s.epochs):
         for b in rng.permutation(len(batches)):

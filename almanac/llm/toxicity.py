@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from almanac.llm import embedding_bag as bag
 from almanac.llm.quality import classify, fit
 
-SETTINGS = bag.Settings(bits=20, dim=8, grams=(3, 4, 5), pairs=False, strip=True, min_texts=5, rows=2500, epochs=8,
+SETTINGS = bag.Settings(bits=20, dim=8, grams=(3, 4, 5), pairs=False, strip=True, min_texts=5, rows=2000, epochs=8,
                         rate=0.3, scale=100.0)
 
 
