@@ -39,6 +39,7 @@ def seeds(n: int, salt: int) -> np.ndarray:
 
 
 _BYTE = seeds(256, 11)
+_BYTE_2 = seeds(256, 13)
 _PLACE = seeds(64, 12) | np.uint64(1)
 
 
@@ -99,6 +100,24 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix((sums[last] - sums[first]) * down[first]), starts
 
 
+def string_hashes(strings: pa.Array) -> np.ndarray:
+    """Two 64-bit hashes of each string's bytes as they are (two rows); the first is never zero."""
+    if not pa.types.is_large_string(strings.type):
+        strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset:strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    data = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    up, down = _power(len(data) + 1)
+    out = []
+    for table in (_BYTE, _BYTE_2):
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(table[data] * up[:len(data)], out=sums[1:])
+        out.append(mix((sums[offsets[1:]] - sums[offsets[:-1]]) * down[offsets[:-1]] + np.diff(offsets).astype(np.uint64)))
+    out[0] = np.maximum(out[0], np.uint64(1))
+    return np.stack(out)
+
+
 def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """A 48-bit hash per run of ``width`` words and where each text's runs begin.
 

@@ -25,6 +25,7 @@ from almanac.llm.hashing import slices
 from almanac.llm.memo import Memo, per_text
 
 SPACE = "▁"
+SLICE = 1 << 22
 LITERAL = "\udfff"  # stands for a space mark that is in the text itself; valid text can't hold it
 UNUSED = -1e8  # pieces scored below are placeholders; single characters among them rank last
 
@@ -159,7 +160,7 @@ def pieces(docs: DataFrame, path: str, digest: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, _ = vocabulary(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 ids, starts = encode(part.column("text"), path)
                 n = part.num_rows
                 own = [ids[starts[i]:starts[i + 1]] for i in range(n)]

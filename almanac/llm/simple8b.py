@@ -31,6 +31,7 @@ BITS = (0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
 MARK = np.uint64((15 << 60) | ((1 << 60) - 1))
 LARGEST = (1 << 60) - 2
 BLOCK_IDS = 1 << 16
+SLICE = 1 << 22
 
 
 _SMALL = np.array([x.bit_length() for x in range(1 << 16)], np.int8)
@@ -72,8 +73,9 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         select[run >= COUNTS[s]] = s
     step = np.array(COUNTS)[select].tolist()
     begins, i = [], 0
+    note = begins.append
     while i < n:
-        begins.append(i)
+        note(i)
         i += step[i]
     begins = np.array(begins)
     select = select[begins]
@@ -161,7 +163,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> None
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCK)], schema=_BLOCK)
 
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 ids, starts = tokenise(part.column("text"), tokenizer)
                 for t, doc in enumerate(part.column("doc_id").to_pylist()):
                     own = np.append(ids[starts[t]:starts[t + 1]], np.uint32(end_id))
