@@ -32,8 +32,8 @@ BANDS = 10
 ROWS = 3
 CHUNK = 1 << 14
 GRID = 2048
-AGREE = 0.5
-"""Share of equal samples below which a pair can't be as similar as 0.8 but for one in some thousand."""
+AGREE = 0.6
+"""Share of equal samples that a pair as similar as 0.8 misses once in some hundred times, one of 0.85 once in ten thousand."""
 
 _LEVELS = 1 << 12
 _ODD = seeds(256, 41) | np.uint64(1)
@@ -179,42 +179,82 @@ def verified(pairs: DataFrame, texts: DataFrame, table, threshold: float) -> Dat
     return pairs.join(a, "src").join(b, "dst").select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
-def _unlinked(pdf: pd.DataFrame, i: int, j: int) -> pd.DataFrame:
-    """Pairs of a bucket's rows in different components whose samples agree enough to be checked."""
-    a, b = pdf[pdf["own"] == i], pdf[pdf["own"] == j]
+def _unlinked(a: pd.DataFrame, b: pd.DataFrame, table: np.ndarray, threshold: float) -> pd.DataFrame:
+    """Links between rows of ``a`` and ``b`` in different components, one for each two components.
+
+    Rows whose samples agree too little are left out first. The rest of a row's similarities are
+    summed in one go over the lists of rows of ``b`` that have each of its shingles.
+    """
+    empty = pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+    if not len(a) or not len(b):
+        return empty
     x, y = np.stack(a["sample"].to_numpy()), np.stack(b["sample"].to_numpy())
-    src, dst = [], []
+    comp_a, comp_b = a["component"].to_numpy(), b["component"].to_numpy()
+    apart = comp_a[:, None] != comp_b[None, :]
+    near = np.zeros(apart.shape, bool)
     for at in range(0, len(x), 256):
         rows = x[at:at + 256]
-        hits = sum((rows[:, k:k + 1] == y[None, :, k]).astype(np.int16) for k in range(x.shape[1]))
-        apart = a["component"].to_numpy()[at:at + 256, None] != b["component"].to_numpy()[None, :]
-        p, q = np.nonzero((hits >= AGREE * x.shape[1]) & apart)
-        src.append(a["id"].to_numpy()[at + p])
-        dst.append(b["id"].to_numpy()[q])
-    src, dst = np.concatenate(src), np.concatenate(dst)
-    return pd.DataFrame({"src": np.maximum(src, dst), "dst": np.minimum(src, dst)}).drop_duplicates()
-
-
-def residual_pairs(banded: DataFrame, label: DataFrame) -> DataFrame:
-    """Candidates that the leaders left apart: rows of one bucket in different components.
-
-    Only buckets with two components or more have any. Such a bucket is cut into blocks of
-    ``GRID`` rows that meet as a grid, one group per pair of blocks, whatever its size.
+        hits = sum((rows[:, k:k + 1] == y[None, :, k]).astype(np.int8) for k in range(x.shape[1]))
+        near[at:at + 256] = (hits >= AGREE * x.shape[1]) & apart[at:at + 256]
+    mine, theirs = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(mine):
+        return empty
+    near = near[np.ix_(mine, theirs)]
+
+    def weighted(texts):
+        values, counts, starts = bags(pa.array(texts, pa.string()))
+        return values, _weights(values, counts, table).astype(np.float64), starts
+    va, wa, sa = weighted(a["text"].iloc[mine])
+    vb, wb, sb = weighted(b["text"].iloc[theirs])
+    owner = np.repeat(np.arange(len(theirs)), np.diff(sb))
+    order = np.argsort(vb, kind="stable")
+    vb, owner, wb_sorted = vb[order], owner[order], wb[order]
+    low, high = np.searchsorted(vb, va), np.searchsorted(vb, va, side="right")
+    total_a = np.add.reduceat(wa, sa[:-1])
+    total_b = np.add.reduceat(wb, sb[:-1])
+    src, dst, done = [], [], set()
+    for r in range(len(mine)):
+        lo, hi = low[sa[r]:sa[r + 1]], high[sa[r]:sa[r + 1]]
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(owner[at], np.minimum(np.repeat(wa[sa[r]:sa[r + 1]], n), wb_sorted[at]), len(theirs))
+        for c in np.flatnonzero(near[r] & (both >= threshold * (total_a[r] + total_b - both))):
+            i, j = a.index[mine[r]], b.index[theirs[c]]
+            pair = (comp_a[mine[r]], comp_b[theirs[c]])
+            if pair not in done:
+                done |= {pair, pair[::-1]}
+                src.append(a["id"].at[i])
+                dst.append(b["id"].at[j])
+    return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
+
+
+def residual_links(banded: DataFrame, label: DataFrame, texts: DataFrame, table, threshold: float) -> DataFrame:
+    """Links that the leaders left out: between rows of one bucket in different components.
+
+    Only buckets of three rows or more, in two components or more, have any: in smaller ones the
+    leader's checks were all. A bucket is cut into blocks of ``GRID`` rows that meet as a grid, one
+    group per pair of blocks, whatever its size; buckets of one block are taken together in groups.
     """
     rows = banded.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = rows.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")
-                                            ).where("lo <> hi").select("band", "key", F.ceil(F.col("n") / GRID).cast("int").alias("cuts"))
-    grid = (rows.join(mixed, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    mixed = cut(rows.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
+                .where("lo <> hi and n > 2").select("band", "key", "n", F.ceil(F.col("n") / GRID).cast("int").alias("cuts")))
+    small = mixed.where("cuts = 1").agg(F.sum("n")).scalar()
+    groups = F.greatest(F.lit(1), F.coalesce(small, F.lit(0)) / F.lit(2 * GRID)).cast("int")
+    grid = (rows.join(mixed.withColumn("groups", groups), ["band", "key"])
+            .withColumn("own", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
             .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-            .withColumn("group", F.pmod(F.xxhash64("band", "key"), F.lit(1 << 20))))
+            .withColumn("bucket", F.xxhash64("band", "key"))
+            .withColumn("group", F.when(F.col("cuts") > 1, F.col("bucket")).otherwise(F.pmod("bucket", "groups")))
+            .select("group", "cuts", "i", "j", "band", "key", "own", "id", "component", "sample")
+            .join(texts.select(F.col("doc_id").alias("id"), "text"), "id"))
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [_unlinked(own, key[1], key[2]) for _, own in pdf.groupby(["band", "key"])
-                 if (own["own"] == key[1]).any() and (own["own"] == key[2]).any()]
-        return pd.concat(found) if found else pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64)})
+        _, _, i, j = key
+        found = [_unlinked(own[own["own"] == i], own[own["own"] == j], table.value, threshold) for _, own in pdf.groupby(["band", "key"])]
+        return pd.concat(found)
 
-    return grid.groupBy("group", "i", "j").applyInPandas(run, "src long, dst long").distinct()
+    return grid.groupBy("group", "cuts", "i", "j").applyInPandas(run, "src long, dst long").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -248,9 +288,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
                 .groupBy("doc_id").agg(F.min("text").alias("text")))
     links = cut(verified(pairs, texts, table, threshold))
     label = components(links)
-    left = cut(residual_pairs(shared.drop("leader"), label).join(pairs, ["src", "dst"], "left_anti"))
+    left = cut(residual_links(shared.drop("leader"), label, texts, table, threshold))
     if not left.isEmpty():
-        label = components(links.unionAll(verified(left, texts, table, threshold)))
+        label = components(links.unionAll(left))
     members = (plain.select("doc_id").distinct().join(of_doc.select("doc_id", "rep"), "doc_id", "left")
                .join(label.withColumnRenamed("id", "rep"), "rep", "left")
                .select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id")))

@@ -137,8 +137,11 @@ class Model:
 
 def sample(docs: DataFrame, rows: int) -> DataFrame:
     """(text, lang) of at most ``rows`` rows with a language, dealt evenly over languages by a hash of the id."""
+    usable = docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    first = Window.partitionBy("lang", "salt").orderBy(F.xxhash64("doc_id"), "doc_id")  # a frequent language in 64 parts
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.where("lang is not null and text is not null and doc_id is not null").select("doc_id", "lang")
+    ids = (usable.withColumn("salt", F.pmod(F.hash("doc_id"), F.lit(64)))
+           .withColumn("turn", F.row_number().over(first)).where(F.col("turn") <= -(-rows // 16))
            .withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= rows)
            .orderBy("turn", "lang", "doc_id").limit(rows).select("doc_id", "lang"))
     return docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
