@@ -35,6 +35,8 @@ class Settings:
     grams: tuple[int, ...] = (3, 4, 5)
     pairs: bool = True
     min_texts: int = 5
+    prior: float = 1.0
+    """How much of the log-odds of label 1 among all labelled rows is added to balanced scores."""
     rows: int = 2000
     """Most labelled rows of each class to train on: those with the smallest hash of their id."""
     epochs: int = 8
@@ -157,8 +159,8 @@ def sample(labelled: DataFrame, s: Settings) -> tuple[pd.DataFrame, float]:
 def train(rows: pd.DataFrame, s: Settings, odds: float = 0.0) -> Model:
     """Stochastic gradient descent in small batches with a falling rate; classes weigh the same in sum.
 
-    ``odds`` are the log-odds of label 1 in the whole, added at the end so that scores are
-    probabilities there. Without rows of both classes every text gets those odds.
+    ``odds`` are the log-odds of label 1 in the whole; the share ``s.prior`` of them is added at the
+    end, all of them for probabilities as in the whole, less to miss fewer of a rare class. Without rows of both classes every text gets those odds.
     """
     rows = rows[rows["ids"].str.len() > 0]
     y = rows["label"].to_numpy(np.int64)
@@ -214,7 +216,7 @@ def train(rows: pd.DataFrame, s: Settings, odds: float = 0.0) -> Model:
             seen_bias += base ** 2
             softmax -= 0.1 * rate * top / np.sqrt(seen_top + 1e-12)
             bias -= 0.1 * rate * base / np.sqrt(seen_bias + 1e-12)
-    return Model(s.scale * vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]) + odds)
+    return Model(s.scale * vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]) + s.prior * odds)
 
 
 def score_texts(texts: pa.Array, model: Model, s: Settings) -> np.ndarray:

@@ -126,9 +126,10 @@ def shingles(words: np.ndarray, starts: np.ndarray, width: int = SHINGLE) -> tup
     counts = np.diff(starts)
     n = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
     out_starts = np.concatenate([[0], np.cumsum(n)])
-    acc = np.zeros(max(0, len(words) - width + 1), np.uint64)
-    for j in range(width):
-        acc += words[j:len(words) - width + 1 + j] * _PLACE[j]
+    runs = max(0, len(words) - width + 1)
+    acc = np.zeros(runs, np.uint64)
+    for j in range(width if runs else 0):
+        acc += words[j:runs + j] * _PLACE[j]
     out = np.empty(out_starts[-1], np.uint64)
     text = np.repeat(np.arange(len(n)), n)
     within = np.arange(len(out)) - out_starts[text]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.graph import components
 from almanac.llm.hashing import counted, mix, seeds, shingles, slices, word_hashes
+from almanac.llm.rows import one_text_per_id
 from almanac.plans.lineage import cut
 
 SLOT_BITS = 18
@@ -270,28 +271,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     as one, by their smallest text; rows without an id are left out; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    plain = one_text_per_id(docs)
     table = spark.sparkContext.broadcast(rarity(*document_frequencies(plain)))  # SLOTS numbers
     signed = cut(signatures(plain, table))
-    # A repeated id has its smallest fingerprint here.
-    once = signed.groupBy("doc_id").agg(F.min_by(F.struct("print_a", "print_b"), F.struct("print_a", "print_b")).alias("p"))
-    once = once.select("doc_id", "p.print_a", "p.print_b")
-    classes = once.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
-    of_doc = cut(once.join(classes, ["print_a", "print_b"]).select("doc_id", "rep", "print_a", "print_b"))
-    reps = (signed.join(of_doc.where("doc_id = rep"), ["doc_id", "print_a", "print_b"])
-            .dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("id"), "sample", "keys"))
+    classes = signed.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
+    of_doc = cut(signed.select("doc_id", "print_a", "print_b").join(classes, ["print_a", "print_b"]).select("doc_id", "rep"))
+    reps = signed.join(of_doc.where("doc_id = rep"), "doc_id").select(F.col("doc_id").alias("id"), "sample", "keys")
     banded = reps.select("id", "sample", F.posexplode("keys").alias("band", "key"))
     leaders = banded.groupBy("band", "key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(banded.join(leaders.drop("n"), ["band", "key"]))  # rows of buckets with two classes or more
     pairs = shared.where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
-    texts = cut(plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                .groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = cut(plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
     links = cut(verified(pairs, texts, table, threshold))
     label = components(links)
     left = cut(residual_links(shared.drop("leader"), label, texts, table, threshold))
     if not left.isEmpty():
         label = components(links.unionAll(left))
-    members = (plain.select("doc_id").distinct().join(of_doc.select("doc_id", "rep"), "doc_id", "left")
+    members = (plain.select("doc_id").join(of_doc.select("doc_id", "rep"), "doc_id", "left")
                .join(label.withColumnRenamed("id", "rep"), "rep", "left")
                .select("doc_id", F.coalesce("component", "rep", "doc_id").alias("class_id")))
     members = cut(members)

@@ -110,7 +110,7 @@ def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict[str
         ratio = fitted.withColumn("ratio", F.col("fitted") / F.col("mass"))
         top = ratio.agg(F.max("ratio").alias("top")).select("top").scalar()
         rated = ratio.select(*keys, (F.col("ratio") / top).alias("mix_probability"))
-    return (marked.join(rated, list(keys), "left").withColumn("mix_probability", F.coalesce("mix_probability", F.lit(0.0)))
+    return (marked.join(rated, list(keys), "left").withColumn("mix_probability", F.when(F.col("mix_tokens") > 0, F.coalesce("mix_probability", F.lit(0.0))).otherwise(F.lit(0.0)))
             .withColumn("mix_sampled", draw(F.col("doc_id")) < F.col("mix_probability"))
             .select(*[c for c in docs.columns if c not in ADDED], *ADDED))
 
@@ -145,7 +145,7 @@ WITH d AS MATERIALIZED (
   FROM (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS mass FROM d GROUP BY ALL) WHERE mass > 0
 ), {margins}, {", ".join(steps)},
 p AS (SELECT source, lang, topic, fitted / mass / max(fitted / mass) OVER () AS p FROM {last})
-SELECT d.doc_id, CAST(d.n_tokens AS BIGINT) AS n_tokens, round(coalesce(p.p, 0), 6) AS probability,
-       CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p.p, 0) AS sampled
+SELECT d.doc_id, CAST(d.n_tokens AS BIGINT) AS n_tokens, round(CASE WHEN d.n_tokens > 0 THEN coalesce(p.p, 0) ELSE 0 END, 6) AS probability,
+       CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) / 4294967296.0 < CASE WHEN d.n_tokens > 0 THEN coalesce(p.p, 0) ELSE 0 END AS sampled
 FROM d LEFT JOIN p USING (source, lang, topic)
 """

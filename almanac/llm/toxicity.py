@@ -12,7 +12,7 @@ from almanac.llm import embedding_bag as bag
 from almanac.llm.quality import classify, fit
 
 SETTINGS = bag.Settings(bits=20, dim=8, grams=(3, 4, 5), pairs=False, strip=True, min_texts=5, rows=2000, epochs=8,
-                        rate=0.3, scale=100.0)
+                        rate=0.1, scale=100.0, prior=0.25)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.7, settings: bag.Settings = SETTINGS) -> DataFrame:

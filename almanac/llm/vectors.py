@@ -92,7 +92,7 @@ def window_links(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
 
 
 def _count(a: pd.DataFrame, b: pd.DataFrame, threshold: float) -> np.ndarray:
-    """For every row of ``a``, how many rows of ``b`` (each standing for ``n`` equal ones) it is linked with."""
+    """For every row of ``a``, how many vectors it is linked with, each row of ``b`` standing for ``n`` equal ones."""
     left, right, n = _units(a["v"]), _units(b["v"]), b["n"].to_numpy(np.float64)
     out = np.zeros(len(a))
     for at in range(0, len(a), STEP):
@@ -159,7 +159,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     counts = link_counts(members, threshold, block)
     found = (reps.join(label, "rep", "left").join(counts, "rep", "left")
              .select("v", F.coalesce("component", "rep").alias("component"),
-                     (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")))
+                     F.coalesce("links", F.col("n") - 1).alias("links")))
     usable_v = F.when(F.col("vec_id").isNotNull(), F.col("raw"))
     return (rows.withColumn("v", usable_v).join(found, "v", "left")
             .select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.hashing import SHINGLE, mix, seeds, shingles, slices, word_hashes, word_spans
+from almanac.llm.rows import one_text_per_id
 from almanac.plans.lineage import cut
 
 MIN_WORDS = 50
@@ -254,7 +255,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     their smallest text; rows without an id are left out; an empty table gives no rows.
     """
     width = max(1, min_words - SHINGLE + 1)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
+    plain = one_text_per_id(docs).where("text is not null")
     every = windows(plain, min_words, hashes)
     # Keys known to be hot are dealt over many tasks; each part has leaders of its own, and the parts' leaders meet once more.
     hot = F.broadcast(_hot(plain, min_words, hashes).withColumn("hot", F.lit(True)))
@@ -271,7 +272,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     stretches = cut(met.mapInArrow(lambda it: _stretches(it, width, enough),
                                    "a long, b long, a_from int, a_to int, b_from int, b_to int"))
     ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(plain.join(ends, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = cut(plain.join(ends, "doc_id", "left_semi"))
     links = _verified(stretches, texts, width, threshold)
     spans = cut(links.select(F.inline(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("a_start").alias("start_word"), F.col("a_end").alias("end_word"),
@@ -283,13 +284,17 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
 
 
 def _merged(spans: DataFrame) -> DataFrame:
-    """Overlapping spans of a document and kind as one."""
+    """Overlapping spans of a document and kind as one; a stretch that an earlier document has isn't kept for a later one."""
     by = Window.partitionBy("doc_id", "kept").orderBy("start_word", "end_word")
     before = F.max("end_word").over(by.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum(F.when(F.col("start_word") > F.coalesce(F.col("before"), F.lit(-1)), 1).otherwise(0)).over(by)
-    return (spans.withColumn("before", before).withColumn("island", island).groupBy("doc_id", "kept", "island")
+    merged = (spans.withColumn("before", before).withColumn("island", island).groupBy("doc_id", "kept", "island")
             .agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.min("first_doc").alias("first_doc"))
             .select("doc_id", "start_word", "end_word", "first_doc", "kept"))
+    gone = merged.where("not kept").select(F.col("doc_id").alias("other"), F.col("start_word").alias("from"), F.col("end_word").alias("to"))
+    first = merged.where("kept").join(
+        gone, F.expr("doc_id = other and start_word < to and end_word > from and least(end_word, to) - greatest(start_word, from) >= 0.8 * (end_word - start_word)"), "left_anti")
+    return first.unionByName(merged.where("not kept"))
 
 
 def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
