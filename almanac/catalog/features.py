@@ -146,15 +146,14 @@ def _(spark, sf):
 
 
 @query("position_stats", f"""WITH {FILLED},
-  g AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, max(pos) OVER (PARTITION BY station_code) AS n FROM filled
-    WINDOW w AS (PARTITION BY station_code ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-  q AS (SELECT station_code, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3, max_by(value, pos) AS v FROM filled GROUP BY 1),
-  k AS (SELECT f.station_code, avg(CASE WHEN value < v THEN 1.0 ELSE 0.0 END) AS rk,
-    max(CASE WHEN v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END) AS o
-    FROM filled f JOIN q ON f.station_code = q.station_code GROUP BY 1)
+  g AS (SELECT *, avg(value) OVER w AS m, stddev_pop(value) OVER w AS s, quantile_cont(value, 0.25) OVER w AS q1, quantile_cont(value, 0.75) OVER w AS q3
+    FROM filled WINDOW w AS (PARTITION BY station_code ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+  k AS (SELECT a.station_code, a.pos, avg(CASE WHEN b.value < a.value THEN 1.0 ELSE 0.0 END) AS rk
+    FROM filled a JOIN filled b ON a.station_code = b.station_code AND b.pos <= a.pos WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1, 2)
   SELECT g.station_code, station, date, {r('CASE WHEN s > 1e-9 THEN (value - m) / s ELSE 0.0 END')} AS z_score,
-   {r('coalesce(s / nullif(m, 0), 0.0)')} AS coef_variation, {r('CASE WHEN pos = n THEN rk END')} AS percentile_rank,
-   CAST(CASE WHEN pos = n THEN o END AS INTEGER) AS is_outlier FROM g JOIN k ON g.station_code = k.station_code""")
+   {r('coalesce(s / nullif(m, 0), 0.0)')} AS coef_variation, {r('rk')} AS percentile_rank,
+   CAST(CASE WHEN value IS NOT NULL THEN CASE WHEN value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) THEN 1 ELSE 0 END END AS INTEGER) AS is_outlier
+  FROM g LEFT JOIN k ON g.station_code = k.station_code AND g.pos = k.pos""")
 def _(spark, sf):
     return shown(ops.position_stats(src.filled(spark, sf)), [*ID, "is_outlier"], ["z_score", "coef_variation", "percentile_rank"])
 

@@ -85,9 +85,16 @@ HZ = "CAST(greatest(1, least({d}, floor(n * 0.1 + 1e-9), 60)) AS INTEGER)"
 
 
 @query("horizon", f"""WITH {FILLED}, h AS (SELECT station_code, station, count(*) AS n, max(date) AS last_date FROM filled GROUP BY 1, 2)
-  SELECT *, {HZ.format(d=21)} AS steps, CAST(greatest(1, floor(n * 0.2 + 1e-9)) AS INTEGER) AS legacy_steps FROM h""")
+  SELECT *, 21 AS requested, {HZ.format(d=21)} AS steps, CAST(greatest(1, floor(n * 0.2 + 1e-9)) AS INTEGER) AS legacy_steps FROM h""")
 def _(spark, sf):
-    return ops.horizon(src.filled(spark, sf))
+    return ops.horizon(src.filled(spark, sf), max_share=ops.MAX_SHARE, max_steps=ops.MAX_HORIZON)
+
+
+@query("horizon_long", f"""WITH {FILLED}, h AS (SELECT station_code, station, count(*) AS n, max(date) AS last_date FROM filled GROUP BY 1, 2)
+  SELECT *, 90 AS requested, 90 AS steps, CAST(greatest(1, floor(n * 0.2 + 1e-9)) AS INTEGER) AS legacy_steps FROM h""")
+def _(spark, sf):
+    """Ninety days asked for are ninety days given."""
+    return ops.horizon(src.filled(spark, sf), 90)
 
 
 def future_sql(rel, keys, out, days=21):

@@ -181,7 +181,7 @@ def _(spark, sf):
 
 
 @query("impute_auto", f"""WITH {DAILY_SPARSE}, {THREE.format(src='daily')}, {SEAS.format(need=730)},
-  c AS (SELECT p.*, seas_value, n_known, coalesce(next_pos, prev_pos + 31) - coalesce(prev_pos, 0) - 1 AS len
+  c AS (SELECT p.*, seas_value, n_known, coalesce(next_pos, max(pos) OVER (PARTITION BY p.station_code) + 1) - coalesce(prev_pos, 0) - 1 AS len
     FROM poly p JOIN seas s USING (station_code, pos)),
   k AS (SELECT *, CASE WHEN value IS NULL THEN CASE WHEN n_known < 30 THEN 'medium' WHEN len <= 3 THEN 'small'
     WHEN len <= 30 THEN 'medium' ELSE 'large' END END AS fill_class FROM c)
@@ -194,6 +194,24 @@ def _(spark, sf):
     return shown(d, ["station_code", "station", "date", "fill_class", "imputed"], ["value"], 2)
 
 
+@query("impute_auto_edges", f"""WITH {DAILY_SPARSE}, f AS (SELECT station_code, min(pos) AS lo, max(pos) AS hi FROM daily GROUP BY 1),
+  len AS (SELECT station_code, CASE station_code % 3 WHEN 0 THEN 2 WHEN 1 THEN 20 ELSE 60 END AS k, lo, hi FROM f),
+  gap AS (SELECT d.station_code, d.station, d.date, k, pos > hi - k AS at_end, pos < lo + k AS at_start FROM daily d JOIN len USING (station_code))
+  SELECT station_code, station, date, CASE WHEN k <= 3 THEN 'small' WHEN k <= 30 THEN 'medium' ELSE 'large' END AS fill_class
+  FROM gap WHERE at_end OR at_start""")
+def _(spark, sf):
+    """Stations whose first and last 2, 20 or 60 rows are missing: the gaps are classed by their own length."""
+    d = src.daily_sparse(spark, sf)
+    ends = d.groupBy("station_code").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    k = F.when(F.col("station_code") % 3 == 0, 2).when(F.col("station_code") % 3 == 1, 20).otherwise(60)
+    cut_off = d.join(ends, "station_code").withColumn("k", k)
+    edge = (F.col("pos") > F.col("hi") - F.col("k")) | (F.col("pos") < F.col("lo") + F.col("k"))
+    # All other rows are known, so that the edges are gaps of exactly that length.
+    dirty = cut_off.withColumn("edge", edge).withColumn("value", F.when(~F.col("edge"), F.coalesce("value", F.lit(1.0)))).drop("lo", "hi", "k")
+    done = ops.impute_auto(dirty.drop("edge"))
+    return done.where("fill_class IS NOT NULL").select("station_code", "station", "date", "fill_class")
+
+
 REPORT = f"""{BLOCKS}, {TRIM}, {linear('trimmed', 'done')},
   b AS (SELECT station_code, station, count(*) AS total_count, count(*) - count(value) AS original_missing FROM daily GROUP BY 1, 2),
   t AS (SELECT station_code, count(*) AS cleaned_count, count(*) - count(value) AS cleaned_missing FROM trimmed GROUP BY 1),

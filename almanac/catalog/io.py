@@ -70,7 +70,7 @@ def _(spark, sf):
     return shown(d, KEYS, [f"{p}_{v}" for p in ("p5", "p10", "p90", "p95") for v in ("tmax", "tmin")])
 
 
-@query("source_profile", f"""WITH {SERIES}, h AS (SELECT * FROM series ORDER BY station_code, date LIMIT 1000)
+@query("source_profile", f"""WITH {SERIES}, h AS (SELECT * FROM series)
   SELECT count(*) AS n_rows, 4 AS n_columns, 'station_code,station,date,value' AS column_names, min(date) AS first_date, max(date) AS last_date,
    array_to_string(list_sort(list_distinct(list(station)))[1:10], ',') AS stations, min(value) AS min_value, max(value) AS max_value,
    {r('avg(value)')} AS mean_value, {r('stddev_samp(value)')} AS std_value FROM h""")

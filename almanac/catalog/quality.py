@@ -145,3 +145,26 @@ def _(spark, sf):
 def _(spark, sf):
     d = ops.quality_gate(src.daily(spark, sf))
     return d.withColumn("missing_ratio", rnd("missing_ratio"))
+
+
+@query("quality_gate_dirty", f"""WITH {SERIES},
+  a AS (SELECT *, (station_code * 7919 + datediff('day', DATE '1970-01-01', date) * 31) % 997 AS arrival,
+    CASE WHEN datediff('day', DATE '1970-01-01', date) % 50 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE value END AS v FROM series WHERE station_code % 2 = 0
+    UNION ALL SELECT *, datediff('day', DATE '1970-01-01', date) AS arrival, value AS v FROM series WHERE station_code % 2 = 1),
+  b AS (SELECT *, lag(date) OVER (PARTITION BY station_code ORDER BY arrival, date) > date AS back FROM a),
+  s AS (SELECT station_code, station, count(*) AS n, count(*) FILTER (isinf(v)) AS infinite, count(*) FILTER (back) AS out_of_order,
+    min(v) FILTER (isfinite(v)) AS lo, max(v) FILTER (isfinite(v)) AS hi FROM b GROUP BY 1, 2)
+  SELECT station_code, station, n, 0.0::DOUBLE AS missing_ratio, infinite, out_of_order,
+   concat_ws(',', CASE WHEN n < 100 THEN 'too_few_rows' END, CASE WHEN infinite > 0 THEN 'infinite_values' END,
+    CASE WHEN coalesce(lo = hi, true) THEN 'no_variation' END, CASE WHEN out_of_order > 0 THEN 'dates_not_sorted' END) AS findings,
+   NOT (n < 100 OR infinite > 0 OR coalesce(lo = hi, true) OR out_of_order > 0) AS passed, n >= 100 AS model_ready FROM s""")
+def _(spark, sf):
+    """Half of the stations arrive unsorted and hold infinities; the order of arrival is what is tested."""
+    s = src.series(spark, sf)
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("bigint")
+    even = F.col("station_code") % 2 == 0
+    dirty = s.withColumns({
+        "arrival": F.struct(F.when(even, (F.col("station_code") * 7919 + day * 31) % 997).otherwise(day).alias("a"), F.col("date")),
+        "value": F.when(even & (day % 50 == 0), F.lit(float("inf"))).otherwise(F.col("value"))})
+    d = ops.quality_gate(dirty, order="arrival")
+    return d.withColumn("missing_ratio", rnd("missing_ratio"))

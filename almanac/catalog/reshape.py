@@ -108,9 +108,7 @@ def _(spark, sf):
   FROM (SELECT DISTINCT station_code, station FROM series)""")
 def _(spark, sf):
     s = ops.distinct_stations(src.series_table(spark, sf))
-    # the number of stations as a scalar beside each: a single-row aggregate
-    total = s.agg(F.count(F.lit(1)).alias("n_stations"))
-    return s.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k").drop("k")
+    return s.withColumn("n_stations", s.agg(F.count(F.lit(1))).scalar())
 
 
 @query("dedupe_dates", f"""WITH dup AS (
@@ -165,23 +163,22 @@ def _(spark, sf):
 
 
 @query("downsample_mean", f"""WITH {SERIES},
-  s AS (SELECT station_code, min(date) AS lo, count(*) AS n FROM series GROUP BY 1)
+  s AS (SELECT station_code, min(date) AS lo FROM series GROUP BY 1)
   SELECT f.station_code, station,
-    CAST(lo + CAST(CASE WHEN n > 500 THEN (datediff('day', lo, date) // 2) * 2
-                   ELSE datediff('day', lo, date) END AS INTEGER) AS DATE) AS date,
+    CAST(lo + CAST((datediff('day', lo, date) // 2) * 2 AS INTEGER) AS DATE) AS date,
     {r('avg(value)')} AS value, count(value) AS rows_merged
   FROM series f JOIN s ON f.station_code = s.station_code GROUP BY 1, 2, 3""")
 def _(spark, sf):
-    return ops.downsample_mean(src.series_table(spark, sf), 2, 500).withColumn("value", rnd("value"))
+    return ops.downsample_mean(src.series_table(spark, sf), 2).withColumn("value", rnd("value"))
 
 
 @query("downsample_stride", f"""WITH {SERIES},
   k AS (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY date) AS pos,
         count(*) OVER (PARTITION BY station_code) AS n FROM series)
   SELECT station_code, station, date, {r('value')} AS value, pos, n FROM k
-  WHERE n <= 300 OR (pos - 1) % greatest(n // 300, 1) = 0""")
+  WHERE (pos - 1) % 5 = 0""")
 def _(spark, sf):
-    return long(ops.downsample_stride(src.series(spark, sf), 300), "pos", "n")
+    return long(ops.downsample_stride(src.series(spark, sf), 5), "pos", "n")
 
 
 @query("extract_station_code", """SELECT s_suppkey, nullif(regexp_extract(s_suppkey || '_' || s_name, '^(\\d+)', 1), '') AS code,
@@ -194,10 +191,10 @@ def _(spark, sf):
         ops.extract_station_code(F.col("s_name")).alias("code_of_name"))
 
 
-@query("sanitize_name", r"""SELECT p_partkey,
-  substr(regexp_replace(translate(p_name || ', ' || p_brand || '. / ' || p_type, ' /\', '___'), '[^\p{L}\p{N}_-]', '', 'g'), 1, 50) AS clean,
-  substr(regexp_replace(translate(p_name || ', ' || p_brand || '. / ' || p_type, ' /\', '___'), '[^\p{L}\p{N}_-]', '', 'g'), 1, 20) AS short
-  FROM part""")
+@query("sanitize_name", r"""WITH n AS (SELECT p_partkey, p_name || ', ' || p_brand || '. / ' || p_type AS name FROM part),
+  k AS (SELECT *, regexp_replace(translate(name, ' /\', '___'), '[^\p{L}\p{N}_-]', '', 'g') AS kept FROM n)
+  SELECT p_partkey, CASE WHEN length(kept) <= 50 THEN kept ELSE substr(kept, 1, 41) || '_' || substr(md5(name), 1, 8) END AS clean,
+   CASE WHEN length(kept) <= 20 THEN kept ELSE substr(kept, 1, 11) || '_' || substr(md5(name), 1, 8) END AS short FROM k""")
 def _(spark, sf):
     name = F.concat(F.col("p_name"), F.lit(", "), F.col("p_brand"), F.lit(". / "), F.col("p_type"))
     return src.table(spark, sf, "part").select(
@@ -212,3 +209,36 @@ def _(spark, sf):
   FROM b""")
 def _(spark, sf):
     return long(ops.continuous_segments(src.series(spark, sf)), "segment")
+
+
+@query("calendar_spine_hourly", """WITH e AS (SELECT event_type AS station, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, value FROM events),
+  hourly AS (SELECT station, h, sum(value) AS value FROM e GROUP BY 1, 2),
+  g AS (SELECT station, unnest(generate_series(min(h), max(h), INTERVAL 1 HOUR)) AS h FROM hourly GROUP BY 1)
+  SELECT g.station, 'H' AS frequency, strftime(g.h, '%Y-%m-%d %H:%M:%S') AS date,
+   row_number() OVER (PARTITION BY g.station ORDER BY g.h) AS pos, (round(v.value, 4) + 0.0) AS value,
+   CAST(CASE WHEN v.h IS NULL THEN 0 ELSE 1 END AS BIGINT) AS merged
+  FROM g LEFT JOIN hourly v ON g.station = v.station AND g.h = v.h""")
+def _(spark, sf):
+    """Hourly sums per event type stay hourly on their calendar."""
+    e = src.table(spark, sf, "events").groupBy(F.col("event_type").alias("station"), F.date_trunc("hour", "ts").alias("date")).agg(
+        F.sum("value").alias("value"))
+    d = ops.frequency_calendar(e, ["station"])
+    return d.select("station", "frequency", F.date_format("date", "yyyy-MM-dd HH:mm:ss").alias("date"), "pos",
+                    F.round("value", 4).alias("value"), "merged")
+
+
+@query("calendar_spine_weekly", f"""WITH {SERIES},
+  w AS (SELECT station_code, station, date, value FROM series WHERE isodow(date) = 3 AND station_code % 5 <> 0),
+  lo AS (SELECT station_code, min(date) AS lo, max(date) AS hi FROM w GROUP BY 1),
+  s AS (SELECT w.*, datediff('day', lo, date) // 7 AS step, lo FROM w JOIN lo USING (station_code)),
+  v AS (SELECT station_code, step, avg(value) AS value, count(*) AS merged FROM s GROUP BY 1, 2),
+  g AS (SELECT station_code, lo, unnest(generate_series(0, datediff('day', lo, hi) // 7)) AS step FROM lo),
+  n AS (SELECT DISTINCT station_code, station FROM w)
+  SELECT g.station_code, station, 'W' AS frequency, CAST(lo + CAST(g.step * 7 AS INTEGER) AS DATE) AS date, CAST(g.step + 1 AS BIGINT) AS pos,
+   {r('value')} AS value, coalesce(merged, 0) AS merged
+  FROM g JOIN n USING (station_code) LEFT JOIN v ON g.station_code = v.station_code AND g.step = v.step""")
+def _(spark, sf):
+    """Weekly series: each reading falls into its station's own week, none is lost."""
+    s = src.series(spark, sf).where("weekday(date) = 2 AND station_code % 5 <> 0")
+    d = ops.frequency_calendar(s)
+    return long(d.withColumn("date", F.col("date").cast("date")), "frequency", "pos", "merged")

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SLICE = 256
+
+
 def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
     """Tail probability by Simpson's rule on the density, after x = tan-like substitution.
 
@@ -37,4 +40,7 @@ def student_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
 
 @F.pandas_udf(T.DoubleType())
 def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
-    return pd.Series(student_p(t.to_numpy(dtype=float), df.to_numpy(dtype=float)))
+    a, b = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
+    # the grid is rows x 2001, so a slice at a time
+    parts = [student_p(a[i:i + SLICE], b[i:i + SLICE]) for i in range(0, len(a), SLICE)]
+    return pd.Series(np.concatenate(parts) if parts else np.zeros(0))

@@ -32,7 +32,9 @@ def alert_threshold_join(predictions: DataFrame, thresholds: DataFrame) -> DataF
 
     Both sides meet on the code, so Spark broadcasts the thresholds where its size check allows.
     """
-    limits = thresholds.withColumnRenamed("station", "threshold_station").withColumnRenamed("station_code", "code")
+    rest = [c for c in thresholds.columns if c != "station_code"]
+    limits = (thresholds.groupBy(F.col("station_code").alias("code")).agg(F.min(F.struct(*rest)).alias("r"))  # a code once
+              .select("code", "r.*").withColumnRenamed("station", "threshold_station"))
     return predictions.withColumn("code", normal_code(F.col("station_code"), F.col("station"))).join(limits, "code")
 
 
@@ -85,9 +87,10 @@ def alert_message(alerts: DataFrame) -> DataFrame:
 
 
 def alert_summary(alerts: DataFrame) -> DataFrame:
-    """Counts in total, by type, by severity and by station, in one pass of grouping sets."""
+    """Counts in total, by type, by severity and by station (its code and name), in one pass of grouping sets."""
     counted = alerts.groupingSets(
-        [[], ["alert_type"], ["severity"], ["station_name"]], "alert_type", "severity", "station_name",
+        [[], ["alert_type"], ["severity"], ["station_code", "station_name"]],
+        "alert_type", "severity", "station_code", "station_name",
     ).agg(
         F.count(F.lit(1)).alias("n"),
         F.grouping("alert_type").alias("gt"), F.grouping("severity").alias("gs"), F.grouping("station_name").alias("gn"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -209,23 +211,46 @@ MOMENTUM_NAMES = ("roc", "accel", "strength")
 
 
 def position_stats(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Expanding z-score and coefficient of variation; rank and outlier flag on the latest row.
+    """Each row against its station's history up to it: z-score, coefficient of variation, rank and outlier flag.
 
-    The two order statistics need the whole history at once, so they are computed for the
-    row that forecasting uses.
+    The rank is the share of known values strictly below; an outlier lies over one and a half
+    interquartile ranges outside the quartiles (linear between neighbours). Order statistics of a
+    growing history need its values in order: one pass per station keeps them sorted, over a
+    daily series, which the calendar bounds. Rows without a value get nulls there.
     """
     grow = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.withColumns({"m": F.avg("value").over(grow), "s": F.stddev_pop("value").over(grow)})
-    latest = latest_position(df, keys)
-    last = df.groupBy(*keys).agg(F.max("pos").alias("pos")).join(latest, keys)
-    return rows.join(last, [*keys, "pos"], "left").withColumns({
+    known = df.where("value IS NOT NULL").select(*keys, "pos", "value")
+    types = dict(known.dtypes)
+
+    def history(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos", ignore_index=True)
+        ordered: list[float] = []
+        rank, outlier = np.zeros(len(pdf)), np.zeros(len(pdf), np.int32)
+        for i, v in enumerate(pdf["value"].to_numpy()):
+            below = bisect.bisect_left(ordered, v)
+            ordered.insert(below, v)
+            n = len(ordered)
+            rank[i] = below / n
+            q = []
+            for share in (0.25, 0.75):
+                at = share * (n - 1)
+                lo = int(at)
+                q.append(ordered[lo] + (ordered[min(lo + 1, n - 1)] - ordered[lo]) * (at - lo))
+            reach = 1.5 * (q[1] - q[0])
+            outlier[i] = v < q[0] - reach or v > q[1] + reach
+        return pdf.drop(columns="value").assign(percentile_rank=rank, is_outlier=outlier)
+
+    shape = ", ".join(f"`{c}` {types[c]}" for c in (*keys, "pos")) + ", percentile_rank double, is_outlier int"
+    placed = known.groupBy(*keys).applyInPandas(history, shape)
+    return rows.join(placed, [*keys, "pos"], "left").withColumns({
         "z_score": F.when(F.col("s") > TINY, (F.col("value") - F.col("m")) / F.col("s")).otherwise(0.0),
         "coef_variation": F.coalesce(div("s", "m"), F.lit(0.0)),
     }).drop("m", "s")
 
 
 def latest_position(df: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Share of values strictly below the latest one, and whether it is an outlier."""
+    """Share of values strictly below the latest one, and its outlier flag."""
     q = series_quantiles(df, keys, {"q1": 0.25, "q3": 0.75})
     last = df.groupBy(*keys).agg(F.max_by("value", "pos").alias("last_value"))
     iqr = F.col("q3") - F.col("q1")

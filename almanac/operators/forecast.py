@@ -1,7 +1,7 @@
 """Horizons, component forecasts, their reconstruction, intervals and quality.
 
-A forecast is a long table: keys, ``date``, ``days_ahead`` and ``value``; one station has at
-most ``MAX_HORIZON`` rows, so windows over it are small.
+A forecast is a long table: keys, ``date``, ``days_ahead`` and ``value``; one station has as
+many rows as days are asked for, so windows over it are small.
 """
 
 from __future__ import annotations
@@ -25,16 +25,22 @@ Z95 = 1.96
 EPS = 1e-8
 
 
-def horizon_steps(n: Column, days: int = DEFAULT_DAYS) -> Column:
-    """min(days, a tenth of the rows, 60), at least one."""
-    tenth = F.floor(n * MAX_SHARE + 1e-9)
-    return F.greatest(F.lit(1), F.least(F.lit(days), tenth, F.lit(MAX_HORIZON))).cast("int")
+def horizon_steps(n: Column, days: int = DEFAULT_DAYS, max_share: float | None = None, max_steps: int | None = None) -> Column:
+    """The days asked for; a share of the rows or a number of steps limits them only where given. At least one."""
+    limits = [F.lit(days)]
+    if max_share is not None:
+        limits.append(F.floor(n * max_share + 1e-9))
+    if max_steps is not None:
+        limits.append(F.lit(max_steps))
+    return F.greatest(F.lit(1), F.least(*limits) if len(limits) > 1 else limits[0]).cast("int")
 
 
-def horizon(df: DataFrame, days: int = DEFAULT_DAYS, keys: list[str] = KEYS) -> DataFrame:
+def horizon(df: DataFrame, days: int = DEFAULT_DAYS, keys: list[str] = KEYS, max_share: float | None = None,
+            max_steps: int | None = None) -> DataFrame:
+    """Steps asked for and given, per key."""
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("date").alias("last_date"))
     return n.withColumns({
-        "steps": horizon_steps(F.col("n"), days),
+        "requested": F.lit(days), "steps": horizon_steps(F.col("n"), days, max_share, max_steps),
         "legacy_steps": F.greatest(F.lit(1), F.floor(F.col("n") * LEGACY_SHARE + 1e-9)).cast("int")})
 
 

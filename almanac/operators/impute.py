@@ -247,7 +247,9 @@ def impute_auto(df: DataFrame, min_points: int = 30, period: int = PERIOD, keys:
     """
     est = _seasonal_estimate(df, period, keys)
     near = _with_three_points(est, keys)
-    length = F.coalesce("next_pos", F.col("prev_pos") + MEDIUM_MAX + 1) - F.coalesce("prev_pos", F.lit(0)) - 1
+    # A gap at the end runs to the station's last row, one at the start from its first.
+    end = F.max("pos").over(Window.partitionBy(*keys)) + 1
+    length = F.coalesce("next_pos", end) - F.coalesce("prev_pos", F.lit(0)) - 1
     kind = F.when(F.col("n_known") < min_points, "medium").otherwise(block_class(length))
     by_class = (
         F.when(F.col("fill_class") == "small", _between())

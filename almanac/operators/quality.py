@@ -13,7 +13,7 @@ from almanac.operators.reshape import clean_cell
 KEYS = ["station_code", "station"]
 
 # Names of day columns, first family that matches wins.
-DAY_FAMILIES = ("Día", "Dia", "Day", "D", "Jour", "Tag", "Dia", "G")
+DAY_FAMILIES = ("Día", "Dia", "Day", "D", "Jour", "Tag", "G")
 
 # Names looked for per role, exact first, then contained, then the default.
 COLUMN_NAMES = {
@@ -264,7 +264,11 @@ def quality_gate(
     df: DataFrame, keys: list[str] = KEYS, order: str = "pos", min_rows: int = 100, max_rows: int = 50000,
     max_missing: float = 0.5,
 ) -> DataFrame:
-    """Rows, missing share, infinities, variation and date order per station; stricter verdict for models."""
+    """Rows, missing share, infinities, variation and date order per station; stricter verdict for models.
+
+    ``order`` is what rows arrived in: dates are tested along it. The default ``pos`` follows the dates
+    of a calendar, which is sorted by construction; raw tables name their arrival column.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
     finite = F.when(~F.abs("value").isin(float("inf")) & ~F.isnan("value"), F.col("value"))
     stats = df.withColumn("back", F.lag("date").over(w) > F.col("date")).groupBy(*keys).agg(

@@ -23,9 +23,10 @@ STEP_SECONDS = {"H": 3600, "D": 86400, "W": 604800, "M": 2592000, "Q": 7776000,
 
 
 def clean_cell(c: Column) -> Column:
-    """Marker text to null, then to a number; other bad text is null too."""
+    """Marker text to null, then to a finite number; other bad text is null too."""
     t = F.trim(c)
-    return F.when(~t.isin(*MISSING_MARKERS), t).try_cast("double")
+    number = F.when(~t.isin(*MISSING_MARKERS), t).try_cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
 
 
 def clean_sentinels(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,6 +82,48 @@ def calendar_spine(df: DataFrame, keys: list[str] = KEYS, frequency: str = "D")
     return spine.join(df, [*keys, "date"], "left")
 
 
+def frequency_calendar(df: DataFrame, keys: list[str] = KEYS, date: str = "date") -> DataFrame:
+    """Each station on the calendar of its own most common gap: no reading is lost, those of one step are averaged.
+
+    Steps are hours, days, weeks, months, quarters or years from the station's first instant; ``date``
+    is the instant a step begins, ``pos`` its number from 1, ``merged`` the readings in it (0 in a gap).
+    A station with one instant is daily.
+    """
+    at = F.col(date).cast("timestamp")
+    span = (
+        df.groupBy(*keys).agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+        .join(detect_frequency(df, keys, date).select(*keys, "frequency"), keys, "left")
+        .withColumn("frequency", F.coalesce("frequency", F.lit("D"))))
+    seconds = F.lit(None)
+    months = F.lit(None)
+    for code in ("H", "D", "W"):
+        seconds = F.when(F.col("frequency") == code, F.lit(STEP_SECONDS[code])).otherwise(seconds)
+    for code, n in (("M", 1), ("Q", 3), ("Y", 12)):
+        months = F.when(F.col("frequency") == code, F.lit(n)).otherwise(months)
+    span = span.withColumns({"seconds": seconds.cast("bigint"), "months": months.cast("int")})
+
+    def step(t: Column) -> Column:
+        by_time = F.floor((F.unix_micros(t) - F.unix_micros("lo")) / (F.col("seconds") * 1_000_000))
+        by_month = F.floor(F.months_between(t, "lo") / F.col("months"))
+        return F.coalesce(by_time, by_month).cast("bigint")
+
+    readings = (
+        df.join(span, keys).withColumn("step", step(at)).groupBy(*keys, "step")
+        .agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("merged")))
+    size = blocks.BLOCK
+    numbers = (
+        span.withColumn("last", step(F.col("hi")))
+        .withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("last") / size))))
+        .withColumn("step", F.explode(F.sequence(F.col("b") * size, F.least(F.col("last"), F.col("b") * size + size - 1)))))
+    begins = F.coalesce(
+        F.timestamp_micros(F.unix_micros("lo") + F.col("step") * F.col("seconds") * 1_000_000),
+        F.expr("lo + make_ym_interval(0, CAST(step * months AS INT))"))
+    return (
+        numbers.select(*keys, "frequency", "step", begins.alias("date"), (F.col("step") + 1).alias("pos"))
+        .join(readings, [*keys, "step"], "left").drop("step")
+        .withColumn("merged", F.coalesce("merged", F.lit(0)).cast("bigint")))
+
+
 def date_gaps(df: DataFrame, keys: list[str] = KEYS, date: str = "date") -> DataFrame:
     """Distances in seconds between neighbouring dates of a station.
 
@@ -184,11 +227,10 @@ def union_stations(*frames: DataFrame) -> DataFrame:
 
 
 def prepare_series(df: DataFrame, date: str = "date", value: str = "value") -> DataFrame:
-    """Cast date and value, drop rows without a value, order by station and date."""
+    """Cast date and value, drop rows without a value; the writer or reader orders where it matters."""
     return (
         df.withColumn(date, F.col(date).try_cast("date")).withColumn(value, clean_cell(F.col(value).cast("string")))
         .filter(F.col(value).isNotNull())
-        .orderBy(*[k for k in KEYS if k in df.columns], date)
     )
 
 
@@ -199,23 +241,20 @@ def tail_rows(df: DataFrame, n: int, keys: list[str] = KEYS) -> DataFrame:
     return df.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= n)
 
 
-def downsample_mean(df: DataFrame, days: int = 2, threshold: int = 15000, keys: list[str] = KEYS) -> DataFrame:
-    """Mean per fixed bucket from the first date; stations up to ``threshold`` rows keep their rows."""
-    span = df.groupBy(*keys).agg(F.min("date").alias("lo"), F.count(F.lit(1)).alias("rows_in"))
-    width = F.when(F.col("rows_in") > threshold, days).otherwise(1)
+def downsample_mean(df: DataFrame, days: int, keys: list[str] = KEYS) -> DataFrame:
+    """Mean per bucket of ``days`` days from the first date, for every station whatever its length."""
+    span = df.groupBy(*keys).agg(F.min("date").alias("lo"))
     return (
         df.join(span, keys)
-        .withColumn("start", F.date_add("lo", (F.floor(F.datediff("date", "lo") / width) * width).cast("int")))
+        .withColumn("start", F.date_add("lo", (F.floor(F.datediff("date", "lo") / days) * days).cast("int")))
         .groupBy(*keys, F.col("start").alias("date"))
         .agg(F.avg("value").alias("value"), F.count("value").alias("rows_merged"))
     )
 
 
-def downsample_stride(df: DataFrame, threshold: int = 15000, keys: list[str] = KEYS) -> DataFrame:
-    """Every k-th row, k = rows // threshold, for stations above the threshold."""
-    k = F.greatest(F.floor(F.col("n") / threshold), F.lit(1))
-    numbered = blocks.number_rows(df, keys)
-    return numbered.filter((F.col("n") <= threshold) | ((F.col("pos") - 1) % k == 0))
+def downsample_stride(df: DataFrame, stride: int, keys: list[str] = KEYS) -> DataFrame:
+    """Every ``stride``-th row of each station, for every station whatever its length."""
+    return blocks.number_rows(df, keys).filter((F.col("pos") - 1) % stride == 0)
 
 
 def extract_station_code(name: Column) -> Column:
@@ -223,9 +262,11 @@ def extract_station_code(name: Column) -> Column:
 
 
 def sanitize_name(name: Column, length: int = 50) -> Column:
-    """Blank and slashes to ``_``; other marks dropped; cut to ``length``."""
+    """Blank and slashes to ``_``; other marks dropped. A longer name than ``length`` ends in a hash of the
+    whole name, so that two names never share a file."""
     kept = F.regexp_replace(F.translate(name, " /\\", "___"), r"[^\p{L}\p{N}_-]", "")
-    return F.substring(kept, 1, length)
+    short = F.concat(F.substring(kept, 1, length - 9), F.lit("_"), F.substring(F.md5(name), 1, 8))
+    return F.when(F.length(kept) <= length, kept).otherwise(short)
 
 
 def continuous_segments(df: DataFrame, max_gap: int = 1, keys: list[str] = KEYS) -> DataFrame:

@@ -169,7 +169,7 @@ def change_pct(name: str) -> Column:
 
 
 def before_after(both: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """Changes in percent and whether completeness, variance and range held up."""
+    """Changes in percent, and flags for completeness, variance and range that held up."""
     m = _moments(both, keys)
     std = F.col("original_std")
     shift = lambda c: F.abs(F.col(f"imputed_{c}") - F.col(f"original_{c}"))
@@ -245,14 +245,15 @@ def histogram(df: DataFrame, bins: int = 30, keys: list[str] = ()) -> DataFrame:
     """Equal-width bins over the range of the column; the last one is closed."""
     keys = list(keys)
     known = df.filter(F.col("value").isNotNull())
-    bounds = known.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    on = keys or ["k"]
-    if not keys:
-        known, bounds = known.withColumn("k", F.lit(1)), bounds.withColumn("k", F.lit(1))
+    if keys:
+        bounds = known.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+        ranged = known.join(bounds, keys)
+    else:
+        ranged = known.withColumns({"lo": known.agg(F.min("value")).scalar(), "hi": known.agg(F.max("value")).scalar()})
     width = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.least(F.floor(F.coalesce(div(F.col("value") - F.col("lo"), width), F.lit(0.0))), F.lit(bins - 1))
     return (
-        known.join(bounds, on)
+        ranged
         .groupBy(*keys, bin_no.cast("int").alias("bin"), "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
         .select(*keys, "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), "n")
     )

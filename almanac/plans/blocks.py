@@ -153,7 +153,7 @@ def carry(
 ) -> DataFrame:
     """Nearest non-null value of a column at or around each row, over frames without bound.
 
-    ``specs`` maps an output name to (column, "back" or "ahead", whether the row itself counts).
+    ``specs`` maps an output name to (column, "back" or "ahead", true if the row itself counts).
     """
     if not split:
         return df.withColumns({out: _nearest(*spec, keys) for out, spec in specs.items()})

@@ -23,15 +23,22 @@ MIN_MODEL_ROWS = 100
 RAIN_NAMES = ("precip", "lluvia", "rain")
 
 
-def preprocess(raw: DataFrame, max_stations: int | None = None) -> DataFrame:
-    """Monthly-wide or long rows to a complete daily calendar."""
+def preprocess(raw: DataFrame, max_stations: int | None = None, arrival: str | None = None) -> DataFrame:
+    """Monthly-wide or long rows to a complete daily calendar.
+
+    Of readings of one day the first by the column ``arrival`` counts where one is named; a table has
+    no order of its own, so without it their mean does. ``frequency_calendar`` keeps finer steps.
+    """
     _, days = qu.find_day_columns(raw.columns)
     if days:
         names = [qu.find_column(raw.columns, *qu.COLUMN_NAMES[r]) for r in ("code", "station", "year", "month")]
         long = re_.unpivot_days(raw, [c for c, _ in days], *names)
     else:
-        long = raw.select(*KEYS, "date", "value")
-    once = long.groupBy(*KEYS, "date").agg(F.min("value").alias("value"))
+        long = raw.select(*KEYS, F.to_date("date").alias("date"), "value", *([arrival] if arrival else []))
+    if arrival and arrival in long.columns:
+        once = re_.dedupe_dates(long, arrival).select(*KEYS, "date", "value")
+    else:
+        once = long.groupBy(*KEYS, "date").agg(F.avg("value").alias("value"))
     if max_stations is not None:
         once = re_.limit_stations(once, max_stations)
     return re_.calendar_spine(cut(once))

@@ -9,11 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder named in ``spark.checkpoint.dir`` or by ``setCheckpointDir``.
+
+    Where neither is set, a local run gets a folder of its own; on a cluster that is an error,
+    since executors would each write to their own disk.
+    """
+    context = spark.sparkContext
+    named = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+             or context.getCheckpointDir())
     if not named:
+        if not (context.master or "").startswith("local[") and context.master != "local":
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="almanac-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -62,16 +62,18 @@ def parsed_date(c: Column) -> Column:
 
 
 def find_date_column(df: DataFrame) -> str | None:
-    """By keyword in the name; else the first column whose first ten values all parse."""
+    """By keyword in the name; else the first column whose values all parse, over the whole table."""
     for c in df.columns:
         if any(k in c.lower() for k in DATE_KEYWORDS):
             return c
     texts = [c for c, t in df.dtypes if t in ("string", "date", "timestamp", "timestamp_ntz")]
-    sample = df.select(*texts).limit(10).agg(*[
-        (F.count(c).alias(f"n_{i}")) for i, c in enumerate(texts)
+    if not texts:
+        return None
+    counts = df.agg(*[
+        F.count(F.col(f"`{c}`")).alias(f"n_{i}") for i, c in enumerate(texts)
     ], *[F.count(parsed_date(F.col(f"`{c}`"))).alias(f"ok_{i}") for i, c in enumerate(texts)]).first()
     for i, c in enumerate(texts):
-        if sample[f"n_{i}"] and sample[f"n_{i}"] == sample[f"ok_{i}"]:
+        if counts[f"n_{i}"] and counts[f"n_{i}"] == counts[f"ok_{i}"]:
             return c
     return None
 
@@ -101,15 +103,15 @@ def load_thresholds(sheet: DataFrame) -> DataFrame:
     return typed.filter(F.col("station_code") == F.col("code_h")).dropna(subset=list(THRESHOLDS)).drop("code_h")
 
 
-def source_profile(df: DataFrame, rows: int = 1000) -> DataFrame:
-    """Shape, dates, values and first ten stations of the first rows of a source."""
-    head = df.orderBy("station_code", "date").limit(rows)
-    names = F.array_sort(F.collect_set("station"))
-    return head.agg(
+def source_profile(df: DataFrame) -> DataFrame:
+    """Shape, dates, values and the first ten stations by name, over the whole source."""
+    names = df.select("station").where("station IS NOT NULL").distinct().orderBy("station").limit(10)
+    names = names.agg(F.array_sort(F.collect_list("station")).alias("names")).scalar()
+    return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
         F.lit(",".join(df.columns)).alias("column_names"),
         F.min("date").alias("first_date"), F.max("date").alias("last_date"),
-        F.concat_ws(",", F.slice(names, 1, 10)).alias("stations"),
+        F.concat_ws(",", names).alias("stations"),
         F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"),
         F.stddev_samp("value").alias("std_value"))
 
