@@ -10,13 +10,13 @@ import pyarrow.compute as pc
 
 from almanac.llm.hashing import string_hashes
 
-KEEP = 1 << 20
+KEEP = 1 << 21
 
 
 class Memo:
     """Ids of segments seen so far, in an open hash table of 128-bit segment hashes.
 
-    All is forgotten at once beyond ``keep`` segments, so memory is bounded (some 60 MB).
+    All is forgotten at once beyond ``keep`` segments, so memory is bounded (some 200 MB).
     """
 
     def __init__(self, encode: Callable[[list[str]], list], keep: int = KEEP):

@@ -106,10 +106,11 @@ class Vocabulary:
 
     def segment(self, name: str) -> list[int]:
         """Ids of a segment as ``encode`` cuts them."""
-        text = name[2:] if name.startswith("\n\0") else SPACE + name.replace(SPACE, LITERAL)
+        if SPACE in name:
+            name = name.replace(SPACE, LITERAL)
         if name.startswith("\n\0"):
-            return [*self.search("\n"), *self.search(text.replace(SPACE, LITERAL))]
-        return list(self.search(text))
+            return [*self.search("\n"), *self.search(name[2:])]
+        return list(self.search(SPACE + name))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of the ids; the leading space that encoding adds is taken off."""

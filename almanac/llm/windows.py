@@ -236,7 +236,10 @@ def _verified(stretches: DataFrame, texts: DataFrame, width: int, threshold: flo
 
 
 def _hot(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
-    """Keys that more than a thousandth of the windows of a sample share: at most a thousand rows."""
+    """Keys that come more than 20 times in one in 64 documents, the most frequent thousand of them at most.
+
+    The bound only decides what is dealt over many tasks; results don't depend on it.
+    """
     seen = windows(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(64)) == 0), min_words, hashes)
     counts = seen.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     return counts.where("n > 20").orderBy(F.desc("n"), "key").limit(1000).select("key")
@@ -258,17 +261,21 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     plain = one_text_per_id(docs).where("text is not null")
     every = windows(plain, min_words, hashes)
     # Keys known to be hot are dealt over many tasks; each part has leaders of its own, and the parts' leaders meet once more.
-    hot = F.broadcast(_hot(plain, min_words, hashes).withColumn("hot", F.lit(True)))
-    dealt = (every.join(hot, "key", "left")
-             .withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.lit(-1)).cast("int")))
+    hot = cut(_hot(plain, min_words, hashes).withColumn("hot", F.lit(True)))
+    some_hot = not hot.isEmpty()
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.lit(-1)).cast("int")
+    dealt = every.join(F.broadcast(hot), "key", "left").withColumn("salt", salt) if some_hot else every.withColumn("salt", F.lit(-1))
     order = ["key", "context", "doc_id", "c", "reach", "f"]
     runs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "context", "doc_id", "c")
     shape = "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int"
     pairs = runs.withColumn("key", F.when(F.col("salt") >= 0, F.xxhash64("key", "salt")).otherwise(F.col("key"))).select(*order).mapInArrow(_pair_runs, shape)
-    leads = (dealt.where("salt >= 0").groupBy("key", "salt", "context")
-             .agg(F.min_by(F.struct("doc_id", "c", "reach", "f"), F.struct("doc_id", "c")).alias("x")).select("key", "context", "x.*"))
-    between = leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order).mapInArrow(_pair_runs, shape)
-    met = pairs.unionAll(between).repartition("a", "b").sortWithinPartitions("a", "b", "a_from")
+    met = pairs
+    if some_hot:
+        leads = (every.join(F.broadcast(hot), "key").withColumn("salt", salt).groupBy("key", "salt", "context")
+                 .agg(F.min_by(F.struct("doc_id", "c", "reach", "f"), F.struct("doc_id", "c")).alias("x")).select("key", "context", "x.*"))
+        met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order)
+                             .mapInArrow(_pair_runs, shape))
+    met = met.repartition("a", "b").sortWithinPartitions("a", "b", "a_from")
     stretches = cut(met.mapInArrow(lambda it: _stretches(it, width, enough),
                                    "a long, b long, a_from int, a_to int, b_from int, b_to int"))
     ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()

@@ -159,6 +159,20 @@ def test_repeated_passages_are_found_and_cut(spark):
     assert left[4].text.split() == own[4]
 
 
+def test_hot_keys_dealt_over_tasks_change_nothing(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 4000")
+    passage = " ".join(words(77, 70))
+    many = spark.createDataFrame([(50_000 + i, " ".join(words(500 + i, 40)) + " " + passage) for i in range(150)], "doc_id long, text string")
+    every = docs.select("doc_id", "text").unionAll(many)
+    plainly = {tuple(r) for r in windows.repeated_passages(every).collect()}
+    seen = windows.windows(every, 50, windows.HASHES).groupBy("key").count().where("count > 40").select("key").collect()
+    assert seen
+    monkeypatch.setattr(windows, "_hot", lambda *a: spark.createDataFrame(seen, "key long"))
+    dealt = {tuple(r) for r in windows.repeated_passages(every).collect()}
+    assert {(r[0], r[4]) for r in dealt if not r[4]} == {(r[0], r[4]) for r in plainly if not r[4]}
+    assert len([r for r in dealt if r[0] >= 50_000 and not r[4]]) == 149
+
+
 def test_repeated_passages_takes_odd_rows(odd, none):
     got = {(r.doc_id, r.kept) for r in windows.repeated_passages(odd).collect()}
     assert (9, False) in got and not {d for d, _ in got} & {0, 1, 2, 3, 4, 11, 12}
