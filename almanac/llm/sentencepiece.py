@@ -55,8 +55,8 @@ class Vocabulary:
         lowest = min((s for s, _ in self.scores.values() if s > UNUSED), default=0.0)
         self.scores = {p: (s if s > UNUSED else lowest - 1, i) for p, (s, i) in self.scores.items()}
         self.fallback = lowest - 10
-        # What pieces end in: a piece's score, None for a mere ending, so that a search backwards stops early.
-        self.endings: dict[str, float | None] = {p[i:]: None for p in self.scores for i in range(1, len(p))}
+        # What pieces end in: a piece's score, zero for a mere ending, so that a search backwards stops early.
+        self.endings = {p[i:]: 0.0 for p in self.scores for i in range(1, len(p))}
         self.endings |= {p: min(s, -1e-9) for p, (s, _) in self.scores.items()}
         self.splits_at_space = not any(SPACE in p[1:] for p in self.scores)
         self.splits_at_line = not any("\n" in p for p in self.scores)
@@ -68,7 +68,7 @@ class Vocabulary:
         boundary before. Paths can only grow from the last ``longest`` boundaries, so once the paths
         to all of those run through one boundary, what lies before it is certain.
         """
-        longest, endings, fallback = self.longest, self.endings, self.fallback
+        longest, known, fallback = self.longest, self.endings.get, self.fallback
         window, best, back = "", [0.0], [0]
         for char in text:
             if len(window) >= 8 * longest:
@@ -84,25 +84,31 @@ class Vocabulary:
                     back = [max(0, x - cut) for x in back[cut:]]
             window += char
             end = len(window)
-            top, last = best[end - 1] + fallback, end - 1
-            for begin in range(end - 1, max(0, end - longest) - 1, -1):
-                score = endings.get(window[begin:], 0)
-                if score == 0:
+            top, last = best[-1] + fallback, end - 1
+            for begin in range(end - 1, end - longest - 1 if end > longest else -1, -1):
+                score = known(window[begin:])
+                if score is None:
                     break
-                if score is not None and best[begin] + score > top:
-                    top, last = best[begin] + score, begin
+                if score:
+                    score += best[begin]
+                    if score > top:
+                        top, last = score, begin
             best.append(top)
             back.append(last)
         yield from self._path(window, back, len(window))
 
     def _path(self, window: str, back: list[int], end: int) -> list[int]:
-        ids: list[list[int]] = []
+        ids: list[int] = []
         while end:
-            piece = window[back[end]:end]
-            known = self.scores.get(piece)
-            ids.append([known[1]] if known else [self.bytes[x] for x in (SPACE if piece == LITERAL else piece).encode()])
-            end = back[end]
-        return [i for x in reversed(ids) for i in x]
+            begin = back[end]
+            piece = window[begin:end]
+            if piece in self.scores:
+                ids.append(self.scores[piece][1])
+            else:
+                ids.extend(self.bytes[x] for x in reversed((SPACE if piece == LITERAL else piece).encode()))
+            end = begin
+        ids.reverse()
+        return ids
 
     def segment(self, name: str) -> list[int]:
         """Ids of a segment as ``encode`` cuts them."""
