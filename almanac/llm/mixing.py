@@ -104,7 +104,7 @@ def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict[str
         top = table["ratio"].max() if len(table) else 0.0
         table["mix_probability"] = table["ratio"] / top if top > 0 else 0.0
         schema = ", ".join(f"{k} string" for k in keys) + ", mix_probability double"
-        rated = cells.sparkSession.createDataFrame(table[[*keys, "mix_probability"]].to_records(index=False).tolist(), schema)
+        rated = F.broadcast(cells.sparkSession.createDataFrame(table[[*keys, "mix_probability"]].to_records(index=False).tolist(), schema))  # at most on_driver rows
     else:
         fitted = _rake_joined(cells, list(keys), {f"__mix_{m}": wanted(m) for m in names}, sweeps)
         ratio = fitted.withColumn("ratio", F.col("fitted") / F.col("mass"))

@@ -19,3 +19,9 @@ def one_text_per_id(docs: DataFrame) -> DataFrame:
         return plain
     settled = plain.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     return plain.join(again, "doc_id", "left_anti").unionAll(settled)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table with few narrow rows, marked for broadcast if it has at most ``rows``; as it is if it has more."""
+    table = cut(df)
+    return F.broadcast(table) if table.count() <= rows else table

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.hashing import SHINGLE, mix, seeds, shingles, slices, word_hashes, word_spans
-from almanac.llm.rows import one_text_per_id
+from almanac.llm.rows import one_text_per_id, small
 from almanac.plans.lineage import cut
 
 MIN_WORDS = 50
@@ -319,7 +319,8 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             yield batch.append_column("__was_cut", pa.array(cut_here)).select(schema.names)
 
-    joined = docs.join(out, docs["doc_id"] == F.col("__span_doc"), "left").drop("__span_doc")
+    few = small(out, 200_000)  # a row per document with something to cut
+    joined = docs.join(few, docs["doc_id"] == F.col("__span_doc"), "left").drop("__span_doc")
     cleaned = joined.mapInArrow(run, schema)
     if "n_chars" in docs.columns:
         n = F.when(F.col("__was_cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
