@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.icws import near_duplicates
 from almanac.llm.mixing import mix_documents
+from almanac.llm.rows import small
 from almanac.llm.sentencepiece import pieces
 from almanac.llm.toxicity import without_toxic
 from almanac.llm.windows import remove_repeats, repeated_passages
@@ -23,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; rows without an id stay."""
-    gone = near_duplicates(docs, 0.8).where("not kept").select(F.col("doc_id").alias("__gone"))
+    gone = small(near_duplicates(docs, 0.8).where("not kept").select(F.col("doc_id").alias("__gone")))
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
 
