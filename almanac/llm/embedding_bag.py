@@ -132,14 +132,14 @@ def features(batch: pa.RecordBatch, s: Settings) -> tuple[list[np.ndarray], list
     return np.split(keys & ((1 << s.bits) - 1), cuts), np.split(share, cuts)
 
 
-def sample(labelled: DataFrame, s: Settings) -> tuple[pd.DataFrame, float]:
-    """Features of at most ``s.rows`` rows of each class of (doc_id, text, label), made on the executors,
-    and the log-odds of label 1 among all labelled rows."""
-    labelled = labelled.where("label in (0, 1) and doc_id is not null")
+def sample(docs: DataFrame, marks: DataFrame, s: Settings) -> tuple[pd.DataFrame, float]:
+    """Features of at most ``s.rows`` rows of each class, made on the executors, and the log-odds of label 1
+    among all labelled rows, from (doc_id, text) and (doc_id, label). Only ids are shuffled to choose them."""
+    labelled = docs.select("doc_id").join(marks, "doc_id").where("label in (0, 1)")
     chosen = [labelled.where(F.col("label") == v).select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.rows)
               for v in (0, 1)]
     ids = chosen[0].unionAll(chosen[1])  # at most twice s.rows ids
-    texts = labelled.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     n = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

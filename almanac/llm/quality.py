@@ -29,7 +29,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder:
     """The model learned from the labelled documents that aren't held out."""
     marks = labels.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows, odds = bag.sample(plain.where(~bag.held_out(modulus, remainder)).join(marks, "doc_id"), settings)
+    rows, odds = bag.sample(plain.where(~bag.held_out(modulus, remainder)), marks, settings)
     return bag.train(rows.drop_duplicates("doc_id"), settings, odds)
 
 
