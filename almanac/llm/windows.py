@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,9 @@ MIN_WORDS = 50
 HASHES = 4
 ENOUGH = 2
 GAP = 2 * SHINGLE
+GRID = 2048
+REGION = 128
+"""Shingles to each side of a window's own by which rows of a key are compared before whole stretches are verified."""
 _ODD = seeds(64, 51) | np.uint64(1)
 
 
@@ -103,10 +107,14 @@ def windows(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
 
 def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs out of rows sorted by key, context, doc_id: each row with the first of its key and context;
-    those firsts with the first of the key and with the one before. State is two rows, whatever a run's length."""
+    those firsts with the first of the key and with the one before. State is two rows, whatever a run's length.
+    Every row of a key with two or more is an end of a pair; a and b may be one document."""
     names = ["key", "context", "doc_id", "c", "reach", "f"]
     first = lead = None  # of the key; of the key and context
+    own = "key"  # what the key was before it was dealt
     for batch in batches:
+        if "own" in batch.schema.names and own == "key":
+            own, names = "own", [*names, "own"]
         t = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names}
         held = [x for x in (first, lead) if x is not None]
         t = {c: np.concatenate([np.array([x[c] for x in held], t[c].dtype), t[c]]) for c in names}
@@ -121,7 +129,7 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leads = fresh[of_sub[fresh] == fresh]
         a = np.concatenate([of_sub[fresh], of_key[leads], before[leads]])
         b = np.concatenate([fresh, leads, leads])
-        ok = (t["key"][a] == t["key"][b]) & (t["doc_id"][a] != t["doc_id"][b])
+        ok = (t["key"][a] == t["key"][b]) & (a != b)
         ok[len(fresh) + len(leads):] &= before[leads] != of_key[leads]
         a, b = a[ok], b[ok]
         swap = t["doc_id"][a] > t["doc_id"][b]
@@ -130,10 +138,11 @@ def _pair_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before_c = np.minimum(reach(a, 32), reach(b, 32))
         after_c = np.minimum(reach(a, 0), reach(b, 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(t["doc_id"][a]), pa.array(t["doc_id"][b]), pa.array((t["c"][a] - before_c).astype(np.int32)),
+            [pa.array(t[own][a]), pa.array(t["c"][a]), pa.array(t["c"][b]), pa.array(t["reach"][a]), pa.array(t["reach"][b]),
+             pa.array(t["doc_id"][a]), pa.array(t["doc_id"][b]), pa.array((t["c"][a] - before_c).astype(np.int32)),
              pa.array((t["c"][a] + after_c).astype(np.int32)), pa.array((t["c"][b] - before_c).astype(np.int32)),
              pa.array((t["c"][b] + after_c).astype(np.int32)), pa.array(np.int32(1) << t["f"][a])],
-            ["a", "b", "a_from", "a_to", "b_from", "b_to", "fs"])
+            ["key", "a_c", "b_c", "a_reach", "b_reach", "a", "b", "a_from", "a_to", "b_from", "b_to", "fs"])
         first = {c: t[c][of_key[-1]] for c in names}
         lead = {c: t[c][of_sub[-1]] for c in names}
 
@@ -235,6 +244,113 @@ def _verified(stretches: DataFrame, texts: DataFrame, width: int, threshold: flo
         run, "a long, b long, a_start long, a_end long, b_start long, b_end long"))
 
 
+def _regions(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, key, c, reach, fs, label and the grid's columns) with the shingles around c, within reach, and where c is."""
+    names = ["key", "c", "reach", "fs", "label", "cuts", "group"]
+    kinds = "doc_id long, key long, c int, reach long, fs int, label long, cuts int, group long, at int, around binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for r in part.to_pylist():
+                    values = shingles(*word_hashes(pa.array([r["text"]])))[0]
+                    for w in r["rows"]:
+                        left, right = min(REGION, w["reach"] >> 32), min(REGION, w["reach"] & 0xFFFFFFFF)
+                        around = values[w["c"] - left:w["c"] + right + 1]
+                        out.append((r["doc_id"], *(w[c] for c in names), left, around.tobytes()))
+                cols = list(zip(*out)) if out else [[]] * 10
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", *names, "at", "around"])
+
+    of_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))  # at most a document's windows
+    return texts.join(of_doc, "doc_id").select("doc_id", "text", "rows").mapInArrow(run, kinds)
+
+
+def _apart(rows: pd.DataFrame, width: int, threshold: float) -> list[tuple]:
+    """Pairs of rows of one key, of different labels and documents (and different ``side``, if they have two), that hold a passage.
+
+    A row is compared with those of smaller documents that have enough of its shingles, in their
+    order, as long as they have shingles of it that no passage found before covers.
+    """
+    rows = rows.sort_values(["doc_id", "c"], ignore_index=True)
+    doc, c, reach, label, at, side, fs = (rows[x].to_numpy() for x in ("doc_id", "c", "reach", "label", "at", "side", "fs"))
+    around = [np.frombuffer(x, np.uint64) for x in rows["around"]]
+    two = len(np.unique(side)) > 1
+    # Rows of the most frequent label need not meet each other, so they are only listed, and looked up by the others.
+    names, counts = np.unique(label, return_counts=True)
+    top = names[counts.argmax()]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in around])
+    values = np.concatenate(around)
+    order = np.lexsort([owner, values])
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])
+    values, owner = values[new], owner[new]
+    least = width * threshold
+
+    near: dict[int, list[int]] = {}
+    for r in range(len(rows)):
+        if label[r] == top and len(names) > 1 and counts.max() > 1:
+            continue
+        low, high = np.searchsorted(values, around[r]), np.searchsorted(values, around[r], side="right")
+        n = high - low
+        hits = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
+        ok = (hits >= least) & (label != label[r]) & (doc != doc[r])
+        if two:
+            ok &= side != side[r]
+        for o in np.flatnonzero(ok):
+            if label[o] == top and counts.max() > 1 or o < r:
+                near.setdefault(max(r, o), []).append(min(r, o))
+    out = []
+    for b, smaller in near.items():
+        covered = np.zeros(len(around[b]), bool)
+        for a in sorted(set(smaller)):
+            if not (np.isin(around[b], around[a]) & ~covered).any():
+                continue
+            before = min(reach[a] >> 32, reach[b] >> 32)
+            after = min(reach[a] & 0xFFFFFFFF, reach[b] & 0xFFFFFFFF)
+            from_a, from_b = at[a] - min(before, REGION), at[b] - min(before, REGION)
+            size = min(before, REGION) + min(after, REGION) + 1
+            found = passages(around[a][from_a:from_a + size], around[b][from_b:from_b + size], width, threshold)
+            for _, _, p, q in found:
+                covered[from_b + p:from_b + q] = True
+            if found:
+                out.append((doc[a], doc[b], c[a] - before, c[a] + after, c[b] - before, c[b] + after, fs[a]))
+    return out
+
+
+def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame, width: int, threshold: float) -> DataFrame:
+    """Pairs (a, b, a_from, a_to, b_from, b_to, fs) that the leaders left out: rows of one key not yet joined there.
+
+    Rows are joined if they lie in passages found with the same smallest document. A key whose
+    rows aren't all joined is cut into blocks of ``GRID`` rows that meet as a grid, one group per
+    pair of blocks; keys of one block are taken together in groups.
+    """
+    ends = [pairs.select("key", "fs", F.col(x).alias("doc_id"), F.col(f"{x}_c").alias("c"), F.col(f"{x}_reach").alias("reach")) for x in "ab"]
+    rows = ends[0].unionAll(ends[1]).distinct()
+    have = spans.select(F.col("doc_id").alias("of"), "start_word", "end_word", "first_doc")
+    rows = cut(rows.join(have, F.expr("doc_id = of and c >= start_word and c < end_word"), "left")
+               .groupBy("key", "fs", "doc_id", "c", "reach").agg(F.min("first_doc").alias("label"))
+               .withColumn("label", F.coalesce("label", F.xxhash64("doc_id", "c"))))
+    keys = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
+                                       F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+               .where("lo <> hi and one <> other").select("key", "n", F.ceil(F.col("n") / GRID).cast("int").alias("cuts")))
+    groups = F.greatest(F.lit(1), F.lit((keys.where("cuts = 1").agg(F.sum("n")).first()[0] or 0) // (2 * GRID)))
+    apart = cut(rows.join(keys, "key").withColumn("group", F.when(F.col("cuts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), groups))))
+    texts = plain.join(apart.select("doc_id").distinct(), "doc_id", "left_semi")
+    grid = (_regions(apart, texts)
+            .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other"))
+    shape = "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int"
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [x for _, own in pdf.rename(columns={"own": "side"}).groupby("key") for x in _apart(own, width, threshold)]
+        return pd.DataFrame(found, columns=["a", "b", "a_from", "a_to", "b_from", "b_to", "fs"])
+
+    return grid.groupBy("group", "cuts", "i", "j").applyInPandas(run, shape)
+
+
 def _hot(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
     """Keys that come more than 20 times in one in 64 documents, the most frequent thousand of them at most.
 
@@ -267,27 +383,38 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     dealt = every.join(F.broadcast(hot), "key", "left").withColumn("salt", salt) if some_hot else every.withColumn("salt", F.lit(-1))
     order = ["key", "context", "doc_id", "c", "reach", "f"]
     runs = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "context", "doc_id", "c")
-    shape = "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int"
-    pairs = runs.withColumn("key", F.when(F.col("salt") >= 0, F.xxhash64("key", "salt")).otherwise(F.col("key"))).select(*order).mapInArrow(_pair_runs, shape)
+    shape = ("key long, a_c int, b_c int, a_reach long, b_reach long, "
+             "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int")
+    pairs = runs.withColumn("own", F.col("key")).withColumn("key", F.when(F.col("salt") >= 0, F.xxhash64("key", "salt")).otherwise(F.col("key"))).select(*order, "own").mapInArrow(_pair_runs, shape)
     met = pairs
     if some_hot:
         leads = (every.join(F.broadcast(hot), "key").withColumn("salt", salt).groupBy("key", "salt", "context")
                  .agg(F.min_by(F.struct("doc_id", "c", "reach", "f"), F.struct("doc_id", "c")).alias("x")).select("key", "context", "x.*"))
-        met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order)
+        met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order, F.col("key").alias("own"))
                              .mapInArrow(_pair_runs, shape))
-    met = met.repartition("a", "b").sortWithinPartitions("a", "b", "a_from")
-    stretches = cut(met.mapInArrow(lambda it: _stretches(it, width, enough),
-                                   "a long, b long, a_from int, a_to int, b_from int, b_to int"))
-    ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = cut(plain.join(ends, "doc_id", "left_semi"))
-    links = _verified(stretches, texts, width, threshold)
-    spans = cut(links.select(F.inline(F.array(
+    met = cut(met)
+
+    def spans_of(met: DataFrame, enough: int) -> DataFrame:
+        met = met.where("a <> b").repartition("a", "b").sortWithinPartitions("a", "b", "a_from").select("a", "b", "a_from", "a_to", "b_from", "b_to", "fs")
+        stretches = cut(met.mapInArrow(lambda it: _stretches(it, width, enough),
+                                       "a long, b long, a_from int, a_to int, b_from int, b_to int"))
+        ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = cut(plain.join(ends, "doc_id", "left_semi"))
+        return cut(_spans(_verified(stretches, texts, width, threshold)))
+
+    spans = spans_of(met, enough)
+    left = residual_pairs(met, cut(_merged(spans)), plain, width, threshold)
+    return _merged(spans.unionAll(spans_of(left, 1)))
+
+
+def _spans(links: DataFrame) -> DataFrame:
+    """Both ends of every link: doc_id, start_word, end_word, kept, and the smallest document it was found with."""
+    return (links.select(F.inline(F.array(
         F.struct(F.col("a").alias("doc_id"), F.col("a_start").alias("start_word"), F.col("a_end").alias("end_word"),
                  F.col("a").alias("first_doc"), F.lit(True).alias("kept")),
         F.struct(F.col("b").alias("doc_id"), F.col("b_start").alias("start_word"), F.col("b_end").alias("end_word"),
                  F.col("a").alias("first_doc"), F.lit(False).alias("kept")))))
         .groupBy("doc_id", "start_word", "end_word", "kept").agg(F.min("first_doc").alias("first_doc")))
-    return _merged(spans)
 
 
 def _merged(spans: DataFrame) -> DataFrame:

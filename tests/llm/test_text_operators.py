@@ -173,6 +173,18 @@ def test_hot_keys_dealt_over_tasks_change_nothing(spark, monkeypatch):
     assert len([r for r in dealt if r[0] >= 50_000 and not r[4]]) == 149
 
 
+def test_a_passage_that_ends_in_a_frequent_line_is_found(spark):
+    rows = []
+    for t in range(12):
+        head, line = words(1000 + t, 14), words(5000 + t, 40)
+        for d in range(14):
+            own = words(100_000 + t * 100 + d, 120)
+            rows.append((t * 100 + d, " ".join(own[:60] + (head if d in (7, 13) else []) + line + own[60:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.first_doc, r.start_word, r.end_word) for r in windows.repeated_passages(docs).collect() if not r.kept}
+    assert got == {(t * 100 + 13, t * 100 + 7, 60, 114) for t in range(12)}
+
+
 def test_repeated_passages_takes_odd_rows(odd, none):
     got = {(r.doc_id, r.kept) for r in windows.repeated_passages(odd).collect()}
     assert (9, False) in got and not {d for d, _ in got} & {0, 1, 2, 3, 4, 11, 12}
