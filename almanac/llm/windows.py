@@ -177,12 +177,34 @@ def _stretches(batches: Iterator[pa.RecordBatch], width: int, enough: int) -> It
         yield found(held)
 
 
+def dense(i: np.ndarray, j: np.ndarray, width: int, threshold: float) -> list[tuple[int, int]]:
+    """First and last match of stretches of a chain that are ``width`` long and as similar as ``threshold``.
+
+    With m matches over a and b shingles a stretch is similar enough if (1 + t) m - t (a + b) >= 0, a
+    difference of running sums; so each match has a farthest end. Given are the fewest of these
+    stretches that together cover what all of them cover.
+    """
+    rise = (1 + threshold) * np.arange(len(i)) - threshold * (i + j)
+    best_after = np.maximum.accumulate(rise[::-1])[::-1]
+    far = np.searchsorted(-best_after, -(rise - (1 - threshold) - 1e-9), side="right") - 1
+    starts = np.flatnonzero((i[far] - i + 1 >= width) & (j[far] - j + 1 >= width))
+    out, at = [], 0
+    while at < len(starts):
+        p = starts[at]
+        end = far[p]
+        out.append((p, end))
+        inside = np.searchsorted(starts, end, side="right")
+        further = at + np.flatnonzero(far[starts[at:inside]] > end)
+        at = further[far[starts[further]].argmax()] if len(further) else inside
+    return out
+
+
 def passages(x: np.ndarray, y: np.ndarray, width: int, threshold: float) -> list[tuple[int, int, int, int]]:
     """Near-duplicate stretches (from, past the end) of two shingle rows of at least ``width`` shingles each.
 
     Equal shingles are chained along both rows with gaps of at most ``GAP``; a chain counts if the
-    Jaccard similarity of the two stretches reaches the threshold. Of a chain that doesn't, its runs
-    without a gap count if they are long enough by themselves.
+    Jaccard similarity of the two stretches reaches the threshold. Of a chain that doesn't, its
+    longest stretches that reach it count, and its runs without a gap; both if they are long enough.
     """
     order = np.argsort(y, kind="stable")
     where = np.searchsorted(y[order], x)
@@ -204,17 +226,23 @@ def passages(x: np.ndarray, y: np.ndarray, width: int, threshold: float) -> list
         cuts = np.flatnonzero((step_i > gap) | (step_j > gap) | (step_j < 1)) + 1
         return zip(np.split(i, cuts), np.split(j, cuts))
 
+    def alike(a, b, c, d):
+        s, t = np.unique(x[a:b]), np.unique(y[c:d])
+        both = len(np.intersect1d(s, t, assume_unique=True))
+        return both >= threshold * (len(s) + len(t) - both)
+
     for ci, cj in chains(i, j, GAP):
         if ci[-1] - ci[0] + 1 < width or cj[-1] - cj[0] + 1 < width:
             continue
-        s, t = np.unique(x[ci[0]:ci[-1] + 1]), np.unique(y[cj[0]:cj[-1] + 1])
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        if both >= threshold * (len(s) + len(t) - both):
+        if alike(ci[0], ci[-1] + 1, cj[0], cj[-1] + 1):
             out.append((ci[0], ci[-1] + 1, cj[0], cj[-1] + 1))
             continue
+        found = [(ci[p], ci[q] + 1, cj[p], cj[q] + 1) for p, q in dense(ci, cj, width, threshold)]
+        out += [x for x in found if alike(*x)]
         for ri, rj in chains(ci, cj, 1):
-            if len(ri) >= width:
-                out.append((ri[0], ri[-1] + 1, rj[0], rj[-1] + 1))
+            run = (ri[0], ri[-1] + 1, rj[0], rj[-1] + 1)
+            if len(ri) >= width and not any(o[0] <= run[0] and run[1] <= o[1] and o[2] <= run[2] and run[3] <= o[3] for o in out):
+                out.append(run)
     return out
 
 

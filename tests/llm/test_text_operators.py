@@ -185,6 +185,32 @@ def test_a_passage_that_ends_in_a_frequent_line_is_found(spark):
     assert got == {(t * 100 + 13, t * 100 + 7, 60, 114) for t in range(12)}
 
 
+def test_a_near_copy_is_found_in_a_more_heavily_edited_chain():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 2 ** 48, 96, dtype=np.uint64)
+    y = x.copy()
+    for at in (28, 62, 70, 78, 86):  # a changed word changes five shingles
+        y[at:at + 5] = rng.integers(0, 2 ** 48, 5, dtype=np.uint64)
+    found = windows.passages(x, y, 46, 0.8)
+    assert found and all(a == c and b == d for a, b, c, d in found)
+    covered = {k for a, b, _, _ in found for k in range(a, b)}
+    assert covered >= set(range(56))
+    for _ in range(200):  # every stretch by brute force
+        x = rng.integers(0, 2 ** 48, 130, dtype=np.uint64)
+        y = x.copy()
+        for at in rng.choice(126, rng.integers(2, 12), replace=False):
+            y[at:at + 5] = rng.integers(0, 2 ** 48, 5, dtype=np.uint64)
+        same = x == y
+        want = set()
+        for a in np.flatnonzero(same):
+            for b in np.flatnonzero(same):
+                m, n = same[a:b + 1].sum(), b + 1 - a
+                if n >= 46 and m >= 0.8 * (2 * n - m) - 1e-9 and np.diff(np.flatnonzero(same[a:b + 1])).max() <= windows.GAP:
+                    want |= set(range(a, b + 1))
+        got = windows.passages(x, y, 46, 0.8)
+        assert {k for a, b, _, _ in got for k in range(a, b)} == want
+
+
 def test_repeated_passages_takes_odd_rows(odd, none):
     got = {(r.doc_id, r.kept) for r in windows.repeated_passages(odd).collect()}
     assert (9, False) in got and not {d for d, _ in got} & {0, 1, 2, 3, 4, 11, 12}
