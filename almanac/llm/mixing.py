@@ -4,7 +4,9 @@ Documents fall into cells by source, language and topic. Iterative proportional
 the cells' token mass, one margin after the other, until each margin has its target shares. A
 document is then kept with its cell's ratio of fitted to present mass, divided by the largest
 such ratio, so that the kept tokens have the target shares in expectation and no document is
-needed twice. The draw is a hash of the document's id, so it is the same in every run.
+needed twice. With a ``budget`` the kept tokens are that share of all instead: cells whose ratio would
+be above one are kept whole, and the others are raked again to what is left, so a tiny cell sets no
+scale. The draw is a hash of the document's id, so it is the same in every run.
 """
 
 from __future__ import annotations
@@ -68,14 +70,50 @@ def _rake_joined(cells: DataFrame, margins: list[str], targets: dict[str, DataFr
     return fitted
 
 
+def within_budget(cells: pd.DataFrame, margins: list[str], targets: dict[str, dict[str, float]], sweeps: int, budget: float) -> np.ndarray:
+    """Kept share of every cell, at most 1, so that ``budget`` of all mass is kept and margins are as near their targets as that allows."""
+    mass = cells["mass"].to_numpy(float)
+    wanted = np.ones(len(cells), bool)
+    for m in margins:
+        wanted &= cells[m].map(targets[m]).fillna(0.0).to_numpy(float) > 0
+    goal = min(budget * mass.sum(), mass[wanted].sum())
+    whole = np.zeros(len(cells), bool)
+    kept = np.zeros(len(cells))
+    while True:
+        free = wanted & ~whole
+        kept = np.where(whole, mass, 0.0)
+        rest = goal - kept.sum()
+        if not free.any() or rest <= 0:
+            return kept / mass
+        left = {}
+        for m in margins:
+            names = cells.loc[free, m].unique()
+            fixed = cells[m].map(pd.Series(kept).groupby(cells[m].to_numpy()).sum())
+            fixed = dict(zip(cells[m], fixed))
+            want = {x: max(targets[m][x] * goal - fixed[x], 0.0) for x in names}
+            total = sum(want.values())
+            even = {x: float(mass[free & (cells[m] == x).to_numpy()].sum()) for x in names} if total <= 0 else want
+            left[m] = {x: w * rest / sum(even.values()) for x, w in even.items()}
+        kept[free] = rake(cells[free].reset_index(drop=True), margins, left, sweeps)
+        kept[free] *= rest / kept[free].sum() if kept[free].sum() > 0 else 0.0
+        over = free & (kept > mass)
+        if not over.any():
+            return kept / mass
+        whole |= over
+
+
 def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict[str, float]] | None = None,
-        power: float = POWER, sweeps: int = SWEEPS, on_driver: int = ON_DRIVER) -> DataFrame:
+        power: float = POWER, sweeps: int = SWEEPS, on_driver: int = ON_DRIVER, budget: float | None = None) -> DataFrame:
     """``docs`` with ``mix_tokens``, ``mix_probability`` and ``mix_sampled``; rows and columns stay.
 
     ``targets`` gives a margin's shares by value; a margin without has its present token shares
     to the power ``power``. Shares are scaled to one. A value without a target, and a cell without
     tokens, gets probability 0, so texts without a word aren't sampled. Null values are a value of
     their own, ``(none)``; repeated ids are drawn alike; an empty table gives no rows.
+
+    Without ``budget`` the cell with the largest ratio is kept whole, so how much is kept depends on
+    the rarest cell. ``budget`` is the share of all tokens to keep in expectation; it is fitted in
+    one place, whatever ``on_driver``.
     """
     targets = targets or {}
     names = list(margins)
@@ -93,18 +131,23 @@ def mix(docs: DataFrame, margins: dict[str, Column], targets: dict[str, dict[str
         total = share.agg(F.sum("want").alias("total"))
         return share.withColumn("want", F.col("want") / total.select("total").scalar())
 
-    if cells.count() <= on_driver:
+    if budget is not None or cells.count() <= on_driver:
         table = cells.toArrow().to_pandas().sort_values(list(keys), ignore_index=True)
         goal = {}
         for m in names:
             share = pd.Series(targets[m], dtype=float) if m in targets else table.groupby(f"__mix_{m}")["mass"].sum() ** power
             share = share[share.index.isin(table[f"__mix_{m}"])]
             goal[f"__mix_{m}"] = (share / share.sum()).to_dict() if len(share) and share.sum() > 0 else {}
-        table["ratio"] = rake(table, list(keys), goal, sweeps) / table["mass"]
-        top = table["ratio"].max() if len(table) else 0.0
-        table["mix_probability"] = table["ratio"] / top if top > 0 else 0.0
+        if budget is not None:
+            table["mix_probability"] = within_budget(table, list(keys), goal, sweeps, budget)
+        else:
+            table["ratio"] = rake(table, list(keys), goal, sweeps) / table["mass"]
+            top = table["ratio"].max() if len(table) else 0.0
+            table["mix_probability"] = table["ratio"] / top if top > 0 else 0.0
         schema = ", ".join(f"{k} string" for k in keys) + ", mix_probability double"
-        rated = F.broadcast(cells.sparkSession.createDataFrame(table[[*keys, "mix_probability"]].to_records(index=False).tolist(), schema))  # at most on_driver rows
+        rated = cells.sparkSession.createDataFrame(table[[*keys, "mix_probability"]].to_records(index=False).tolist(), schema)
+        if len(table) <= ON_DRIVER:
+            rated = F.broadcast(rated)
     else:
         fitted = _rake_joined(cells, list(keys), {f"__mix_{m}": wanted(m) for m in names}, sweeps)
         ratio = fitted.withColumn("ratio", F.col("fitted") / F.col("mass"))

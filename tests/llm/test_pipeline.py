@@ -49,3 +49,18 @@ def test_stages_take_odd_rows(spark):
             out = stage(spark, rows, SF)
             assert out.columns == docs.columns, name
             assert out.count() <= rows.count()
+
+
+def test_a_rare_cell_does_not_empty_the_mix(spark):
+    from pyspark.sql import functions as F
+
+    from almanac.llm.mixing import mix_documents
+    words = " ".join(f"w{i}" for i in range(100))
+    rows = [(i, words, ["en", "de"][i % 5 == 0], f"s{i % 3}") for i in range(600)]
+    docs = spark.createDataFrame([*rows, (1000, "one", None, None)], "doc_id long, text string, lang string, source string")
+    kept = [mix_documents(d, budget=0.5).agg(F.sum(F.expr("mix_tokens * mix_probability")), F.sum("mix_tokens"), F.max("mix_probability")).first()
+            for d in (docs, docs.where("doc_id < 1000"))]
+    assert all(abs(k - n / 2) < 1e-6 * n and top <= 1 for k, n, top in kept)
+    assert 200 < corpus_pipeline.mix_sources(spark, docs, SF).count() < 400
+    de = mix_documents(docs.where("doc_id < 1000"), budget=0.5).where("lang = 'de'").agg(F.sum(F.expr("mix_tokens * mix_probability"))).first()[0]
+    assert abs(de / 30_000 - 0.2 ** 0.7 / (0.2 ** 0.7 + 0.8 ** 0.7)) < 1e-3
