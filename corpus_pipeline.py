@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.icws import near_duplicates
 from almanac.llm.mixing import mix_documents
-from almanac.llm.rows import small
+from almanac.llm.rows import one_row_per_text, small
 from almanac.llm.sentencepiece import pieces
 from almanac.llm.toxicity import without_toxic
 from almanac.llm.windows import remove_repeats, repeated_passages
@@ -16,6 +16,7 @@ from almanac.plans.lineage import cut
 
 ORACLE_SQL = None  # a trained classifier and min-hashes are beyond SQL; tests/llm compares with brute force
 
+NUMBER = "__number"
 KEPT = 0.5
 """Share of tokens that the mixing stage keeps."""
 
@@ -26,14 +27,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays; rows without an id stay."""
-    gone = small(near_duplicates(docs, 0.8).where("not kept").select(F.col("doc_id").alias("__gone")))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """Of each group of near copies the smallest doc_id stays; rows without an id stay.
+
+    Rows that repeat an id with another text are texts of their own; of rows with one id and text one stays.
+    """
+    rows = one_row_per_text(docs, NUMBER)
+    texts = rows.select(F.col(NUMBER).alias("doc_id"), "text")
+    gone = small(near_duplicates(texts, 0.8).where("not kept").select(F.col("doc_id").alias("__gone")))
+    return rows.join(gone, rows[NUMBER] == F.col("__gone"), "left_anti").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words and more that an earlier document has are cut; documents left without a word go."""
-    cleaned = remove_repeats(docs, repeated_passages(docs))
+    """Passages of 50 words and more that an earlier document has are cut; documents left without a word go.
+
+    Rows that repeat an id are cut by their own text, as in the stage before.
+    """
+    rows = one_row_per_text(docs, NUMBER).withColumn("__id", F.col("doc_id")).withColumn("doc_id", F.col(NUMBER)).drop(NUMBER)
+    cleaned = remove_repeats(rows, repeated_passages(rows)).withColumn("doc_id", F.col("__id")).drop("__id")
     emptied = F.col("__was_cut") & ~F.coalesce(F.col("text").rlike(r"[^\s\p{Punct}]"), F.lit(False))
     return cleaned.where(~emptied).drop("__was_cut")
 

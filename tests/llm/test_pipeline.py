@@ -64,3 +64,20 @@ def test_a_rare_cell_does_not_empty_the_mix(spark):
     assert 200 < corpus_pipeline.mix_sources(spark, docs, SF).count() < 400
     de = mix_documents(docs.where("doc_id < 1000"), budget=0.5).where("lang = 'de'").agg(F.sum(F.expr("mix_tokens * mix_probability"))).first()[0]
     assert abs(de / 30_000 - 0.2 ** 0.7 / (0.2 ** 0.7 + 0.8 ** 0.7)) < 1e-3
+
+
+def test_rows_that_repeat_an_id_are_judged_by_their_own_text(spark):
+    import numpy as np
+    rng = np.random.default_rng(2)
+    text = lambda n=150: [f"w{x}" for x in rng.integers(0, 5000, n)]
+    own = [text() for _ in range(5)]
+    passage = text(60)
+    join = " ".join
+    rows = [(1, join(own[0])), (2, join(own[0])), (2, join(own[1])), (3, join(own[2])), (3, join(own[2])), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(map(str, left)) == sorted(str(r) for r in docs.collect()[:1] + docs.collect()[2:4] + docs.collect()[5:])
+    rows = [(1, join(own[0] + passage)), (2, join(own[1] + passage)), (2, join(["zz"] + own[3]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.cut_repeats(spark, docs, SF).collect()}
+    assert left == {rows[0], (2, join(own[1])), rows[2]}
