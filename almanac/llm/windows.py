@@ -295,6 +295,19 @@ def _regions(rows: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(of_doc, "doc_id").select("doc_id", "text", "rows").mapInArrow(run, kinds)
 
 
+def _hopeful(rows: pd.DataFrame, least: float) -> pd.DataFrame:
+    """Rows with at least ``least`` shingles that other rows of their key have too; no other row can be in a pair."""
+    sizes = rows["around"].str.len().to_numpy() // 8
+    owner = np.repeat(np.arange(len(rows)), sizes)
+    values = mix(np.frombuffer(b"".join(rows["around"]), np.uint64) ^ np.repeat(mix(rows["key"].to_numpy().view(np.uint64)), sizes))
+    order = np.argsort(values)
+    at, who = values[order], owner[order]
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    several = np.minimum.reduceat(who, new) < np.maximum.reduceat(who, new)
+    hits = np.bincount(who[np.repeat(several, np.diff(np.append(new, len(at))))], minlength=len(rows))
+    return rows[hits >= least]
+
+
 def _apart(rows: pd.DataFrame, width: int, threshold: float) -> list[tuple]:
     """Pairs of rows of one key, of different labels and documents (and different ``side``, if they have two), that hold a passage.
 
@@ -373,7 +386,8 @@ def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame, width:
     shape = "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [x for _, own in pdf.rename(columns={"own": "side"}).groupby("key") for x in _apart(own, width, threshold)]
+        rows = _hopeful(pdf.rename(columns={"own": "side"}), width * threshold)
+        found = [x for _, own in rows.groupby("key") if len(own) > 1 for x in _apart(own, width, threshold)]
         return pd.DataFrame(found, columns=["a", "b", "a_from", "a_to", "b_from", "b_to", "fs"])
 
     return grid.groupBy("group", "cuts", "i", "j").applyInPandas(run, shape)
