@@ -16,6 +16,8 @@ from almanac.llm.quality import quality
 from almanac.llm.sentencepiece import pieces
 from almanac.llm.simple8b import token_files
 from almanac.llm.topk import finite, top_k
+from almanac.llm.spelling import sql as spelling_sql
+from almanac.llm.spelling import variants_in
 from almanac.llm.toxicity import toxicity
 from almanac.llm.vectors import near_vectors
 from almanac.llm.windows import repeated_passages
@@ -101,3 +103,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", 0.9)
+
+
+@query("op11_spelling_variants", spelling_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants_in(_read(spark, sf_dir, "documents"))
