@@ -12,6 +12,7 @@ from almanac.llm.icws import near_duplicates
 from almanac.llm.langid import language
 from almanac.llm.mixing import mix_documents
 from almanac.llm.mixing import sql as mixing_sql
+from almanac.llm.negatives import hard_negatives, labelled
 from almanac.llm.quality import quality
 from almanac.llm.sentencepiece import pieces
 from almanac.llm.simple8b import token_files
@@ -20,6 +21,8 @@ from almanac.llm.spelling import sql as spelling_sql
 from almanac.llm.spelling import variants_in
 from almanac.llm.toxicity import toxicity
 from almanac.llm.vectors import near_vectors
+from almanac.llm.warc import read_records, write_bundles
+from almanac.llm.warc import sql as warc_sql
 from almanac.llm.windows import repeated_passages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +111,36 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_spelling_variants", spelling_sql())
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants_in(_read(spark, sf_dir, "documents"))
+
+
+@query("op12_warc_bundles", warc_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_records(write_bundles(_read(spark, sf_dir, "pages"))).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op13_hard_negatives", """
+WITH clean AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v,
+         row_number() OVER (PARTITION BY vec_id ORDER BY label, CAST(embedding AS DOUBLE[])) AS r
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), one AS (SELECT * FROM clean WHERE r = 1), scored AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_dot_product(a.v, c.v) AS BIGINT) AS score
+  FROM one a JOIN one c ON a.vec_id <> c.vec_id AND len(a.v) = len(c.v) WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS r FROM scored WHERE same) WHERE r <= 5
+), ranked AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS r
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same
+   AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE r <= 5
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = labelled(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label").select(
+        "id", F.expr("CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END").alias("label"),
+        F.transform("v", lambda x: F.floor(x * 256).cast("double")).alias("v"))
+    return hard_negatives(rows, rows.where("id % 100 = 0"), positives=5, negatives=5, lower=80, upper=100)
