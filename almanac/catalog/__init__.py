@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from almanac.catalog import reshape, impute, quality, stats, features, components, forecast, precip, alerts, io, sifting, statespace  # noqa: F401
+from almanac.catalog import reshape, impute, quality, stats, features, components, forecast, precip, alerts, io, sifting, statespace, arma  # noqa: F401
 from almanac.catalog.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

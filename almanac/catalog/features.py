@@ -232,7 +232,20 @@ def _(spark, sf):
     return shown(ops.sample_weights(src.filled(spark, sf)), ID, ["weight"], 6)
 
 
-@query("recency_sampling")
+DRAW = """CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) * 100000 + datediff('day', DATE '1970-01-01', date)"""
+_KEYED = "CAST(station_code AS VARCHAR) || '|' || station || '|' || strftime(date, '%Y-%m-%d')"
+
+
+def draw(salt):
+    return DRAW.format(text=f"'{salt}|' || {_KEYED}")
+
+
+@query("recency_sampling", f"""WITH {FILLED}, a AS (SELECT *, max(pos) OVER (PARTITION BY station_code) - pos AS age FROM filled),
+  b AS (SELECT *, CASE WHEN age < 30 THEN 'recent' WHEN age < 60 THEN 'medium' WHEN age < 90 THEN 'far'
+    WHEN age < 180 THEN 'distant' ELSE 'very_distant' END AS band FROM a),
+  k AS (SELECT *, row_number() OVER (PARTITION BY station_code, band ORDER BY {draw('recency')}) AS rk, count(*) OVER (PARTITION BY station_code, band) AS size FROM b)
+  SELECT station_code, station, date, {r('value')} AS value, band FROM k
+  WHERE rk <= greatest(1, floor(size * CASE band WHEN 'recent' THEN 1.0 WHEN 'medium' THEN 0.8 WHEN 'far' THEN 0.6 WHEN 'distant' THEN 0.4 ELSE 0.2 END + 1e-9))""")
 def _(spark, sf):
     return long(ops.recency_sampling(src.filled(spark, sf)), "band")
 
@@ -248,7 +261,16 @@ def _(spark, sf):
     return ops.recency_sampling(src.filled(spark, sf)).groupBy(*KEYS, "band").agg(F.count(F.lit(1)).alias("kept"))
 
 
-@query("stratified_sample")
+@query("stratified_sample", f"""WITH {FILLED}, q AS (SELECT station_code, {", ".join(f"quantile_cont(value, {p / 100}) AS p{p}" for p in (10, 25, 50, 75, 90))},
+    stddev_pop(value) AS sd, count(*) AS n FROM filled GROUP BY 1),
+  big AS MATERIALIZED (SELECT f.station_code, station, date, value, q.* EXCLUDE (station_code) FROM filled f JOIN q USING (station_code) WHERE n > 1500),
+  near AS ({" UNION ALL ".join(f"SELECT station_code, station, date, value, 'p{p}' AS part FROM big WHERE abs(value - p{p}) < sd * 0.5" for p in (10, 25, 50, 75, 90))}),
+  picked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY station_code, part ORDER BY {DRAW.format(text=f"'near|' || part || '|' || {_KEYED}")}) AS rk FROM near) WHERE rk <= 300),
+  fill AS (SELECT *, row_number() OVER (PARTITION BY station_code ORDER BY {draw('fill')}) AS rk FROM big),
+  every AS (SELECT station_code, station, date, value, part FROM picked
+   UNION ALL SELECT station_code, station, date, value, 'fill' FROM fill WHERE rk <= 1500 - (SELECT count(*) FROM picked p WHERE p.station_code = fill.station_code)
+   UNION ALL SELECT f.station_code, station, date, value, 'all' FROM filled f JOIN q USING (station_code) WHERE n <= 1500)
+  SELECT station_code, station, date, {r('value')} AS value, part FROM every""")
 def _(spark, sf):
     return long(ops.stratified_sample(src.filled(spark, sf)), "part")
 

@@ -11,6 +11,7 @@ from almanac.catalog.sql import RAIN, r
 from almanac.functions.expr import long, rnd, shown
 from almanac.operators import components as cops
 from almanac.operators import forecast as fops
+from almanac.operators import located
 from almanac.operators import precip as ops
 from almanac.plans.lineage import cut
 from almanac.sources import tables as src
@@ -46,16 +47,20 @@ _FN = ["aic_gamma", "aic_exponential", "aic_lognormal", "shape", "scale"]
 
 
 # order values are continuous amounts; daily counts would be nearly constant on wet days
-@query("fit_distribution", f"""WITH src AS (SELECT c_nationkey AS station_code, n_name AS station, o_totalprice / 1000 AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
-  {FIT.format(rel='src')} SELECT station_code, station, n, best, {', '.join(f"{r(f'CASE WHEN n >= 10 THEN {c} END', 3)} AS {c}" for c in _FN)},
-  {r('CASE WHEN n >= 10 THEN ml END', 3)} AS log_mean, {r('CASE WHEN n >= 10 THEN sl END', 3)} AS log_std FROM dist""")
-def _(spark, sf):
+def amounts(spark, sf):
+    """Prices of orders in thousands, by the customer's nation."""
     o = src.table(spark, sf, "orders").select("o_custkey", "o_totalprice")
     c = src.table(spark, sf, "customer").select("c_custkey", "c_nationkey")
     n = src.table(spark, sf, "nation").select("n_nationkey", "n_name")
-    amounts = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.col("c_nationkey").alias("station_code"), F.col("n_name").alias("station"), (F.col("o_totalprice") / 1000).alias("value"))
-    return shown(ops.fit_distribution(amounts), [*KEYS, "n", "best"], [*_FN, "log_mean", "log_std"], 3)
+
+
+@query("fit_distribution", f"""WITH src AS (SELECT c_nationkey AS station_code, n_name AS station, o_totalprice / 1000 AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+  {FIT.format(rel='src')} SELECT station_code, station, n, best, {', '.join(f"{r(f'CASE WHEN n >= 10 THEN {c} END', 3)} AS {c}" for c in _FN)},
+  {r('CASE WHEN n >= 10 THEN ml END', 3)} AS log_mean, {r('CASE WHEN n >= 10 THEN sl END', 3)} AS log_std FROM dist""")
+def _(spark, sf):
+    return shown(ops.fit_distribution(amounts(spark, sf)), [*KEYS, "n", "best"], [*_FN, "log_mean", "log_std"], 3)
 
 
 @query("fit_distribution_rain", f"""WITH {RAIN}, {FIT.format(rel='rain')} SELECT station_code, station, n, best, {', '.join(f"{r(f'CASE WHEN n >= 10 THEN {c} END', 3)} AS {c}" for c in _FN)} FROM dist""")
@@ -140,3 +145,10 @@ def _(spark, sf):
   {r('least(value + 1.96 * wet_std, 2 * wet_max)')} AS upper_ci FROM fixed f JOIN prof p ON f.station_code = p.station_code""")
 def _(spark, sf):
     return shown(ops.precip_interval(*_fixed(spark, sf)), [*KEYS, "date", "days_ahead"], ["value", "lower_ci", "upper_ci"])
+
+
+@query("fit_located")
+def _(spark, sf):
+    fits = located.fit_located(cut(amounts(spark, sf)))
+    names = [c for c in fits.columns if c not in (*KEYS, "n", "best")]
+    return shown(fits, [*KEYS, "n", "best"], names)

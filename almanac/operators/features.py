@@ -14,6 +14,7 @@ from almanac.operators.reshape import tail_rows
 from almanac.plans import blocks
 from almanac.plans.lineage import cut
 from almanac.plans.quantiles import series_quantiles
+from almanac.plans.selection import smallest
 
 KEYS = ["station_code", "station"]
 
@@ -420,38 +421,43 @@ def _age_band(n_recent: int) -> tuple[Column, Column]:
     return band, ratio
 
 
+def sample_order(salt: str, keys: list[str], date: str = "date") -> Column:
+    """A draw per row that any engine can repeat: half of a digest of the row's keys, then the day, so that a series' draws differ."""
+    text = F.concat_ws("|", F.lit(salt), *[F.col(k).cast("string") for k in keys], F.date_format(date, "yyyy-MM-dd"))
+    days = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") * 100_000 + F.pmod(days, F.lit(100_000))
+
+
 def recency_sampling(df: DataFrame, recent: int = 30, keys: list[str] = KEYS) -> DataFrame:
-    """Thin older rows by age band without replacement; repeatable order from a hash of the row's keys."""
+    """Thin older rows by age band without replacement: of each band the rows with the smallest :func:`sample_order`."""
     band, ratio = _age_band(recent)
-    rows = _placed(df, keys).withColumns({"band": band, "ratio": ratio})
-    w = Window.partitionBy(*keys, "band").orderBy(F.xxhash64(*keys, "date"), "date")
-    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "band"))
-    kept = rows.withColumns({"r": F.row_number().over(w), "size": size})
-    target = F.greatest(F.lit(1), F.floor(F.col("ratio") * F.col("size") + 1e-9))
-    return kept.filter(F.col("r") <= target).drop("r", "size", "ratio")
+    rows = _placed(df, keys).withColumns({"band": band, "ratio": ratio, "draw": sample_order("recency", keys)})
+    target = F.greatest(F.lit(1), F.floor(F.first("ratio") * F.count(F.lit(1)) + 1e-9))
+    sizes = rows.groupBy(*keys, "band").agg(target.alias("size"))
+    return smallest(rows, [*keys, "band"], sizes, "draw").drop("draw", "ratio")
 
 
 def stratified_sample(df: DataFrame, size: int = 1500, keys: list[str] = KEYS) -> DataFrame:
     """Rows near five percentiles of the value plus a random fill; whole series up to ``size`` rows.
 
-    As many rows per percentile as ``size`` allows, from within half a standard deviation.
+    As many rows per percentile as ``size`` allows, from within half a standard deviation, those with the
+    smallest :func:`sample_order`.
     """
     per = size // 5
     q = series_quantiles(df, keys, {f"p{p}": p / 100 for p in (10, 25, 50, 75, 90)})
     std = df.groupBy(*keys).agg(F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("rows_in"))
     rows = df.join(q.join(std, keys), keys)
     whole = rows.filter(F.col("rows_in") <= size).withColumn("part", F.lit("all"))
-    big = rows.filter(F.col("rows_in") > size)
+    big = cut(rows.filter(F.col("rows_in") > size))
     bands = F.array(*[
         F.when(F.abs(F.col("value") - F.col(f"p{p}")) < F.col("std") * 0.5, F.lit(f"p{p}"))
         for p in (10, 25, 50, 75, 90)])
-    near = big.withColumn("part", F.explode(F.array_compact(bands)))
-    w = Window.partitionBy(*keys, "part").orderBy(F.xxhash64("part", *keys, "date"), "date")
-    picked = near.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= per)
-    missing = picked.groupBy(*keys).agg((F.lit(size) - F.count(F.lit(1))).alias("fill"))
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit("fill"), *keys, "date"), "date")
-    fill = (big.withColumn("r", F.row_number().over(order)).join(missing, keys, "left")
-            .filter(F.col("r") <= F.coalesce("fill", F.lit(size))).withColumn("part", F.lit("fill")))
+    near = big.withColumn("part", F.explode(F.array_compact(bands))).withColumn("draw", sample_order("near", ["part", *keys]))
+    strata = near.select(*keys, "part").distinct().withColumn("size", F.lit(per))
+    picked = cut(smallest(near, [*keys, "part"], strata, "draw"))
+    taken = picked.groupBy(*keys).agg(F.count(F.lit(1)).alias("taken"))
+    missing = big.select(*keys).distinct().join(taken, keys, "left").select(*keys, (F.lit(size) - F.coalesce("taken", F.lit(0))).alias("size"))
+    fill = smallest(big.withColumn("draw", sample_order("fill", keys)), keys, missing, "draw").withColumn("part", F.lit("fill"))
     cols = [*keys, "date", "value", "part"]
     return whole.select(*cols).unionByName(picked.select(*cols)).unionByName(fill.select(*cols))
 

@@ -4,16 +4,18 @@
 values. It is meant for daily station series: one value per station and date, so a group
 is bounded by the days of the calendar, however much raw data stands behind it.
 
-``exact_quantiles`` has no such bound on the group. A sketch brackets each wanted rank; a
-second pass counts what lies below each bracket and keeps the distinct values inside it,
-combined before the shuffle; only those are ordered.
+``exact_quantiles`` has no such bound on the group: ranks are found by counted pivots
+(:mod:`almanac.plans.selection`).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from almanac.plans.lineage import cut
+from almanac.plans.selection import LIMIT, PIECES, order_statistics
+
 
 def series_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value") -> DataFrame:
     """One row per key with a column for each ``{name: probability}``."""
@@ -26,47 +28,20 @@ def series_quantiles(df: DataFrame, keys: list[str], probs: dict[str, float], va
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", accuracy: int = 1000
+    df: DataFrame, keys: list[str], probs: dict[str, float], value: str = "value", accuracy: int = PIECES, limit: int = LIMIT
 ) -> DataFrame:
-    """Same result as ``series_quantiles`` for groups of any size."""
+    """Same result as ``series_quantiles`` for groups of any size. Every scan narrows a rank's range ``accuracy`` times."""
     names = list(probs)
-    slack = 2.0 / accuracy
-    edges = []
-    for n in names:
-        edges += [max(0.0, probs[n] - slack), min(1.0, probs[n] + slack)]
-    known = df.filter(F.col(value).isNotNull())
-    brackets = known.groupBy(*keys).agg(
-        F.percentile_approx(value, edges, accuracy * 10).alias("edges"),
-        F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high"),
-    ).select(
-        *keys, "n",
-        F.array(*[
-            F.struct(
-                F.lit(n).alias("name"),
-                # a bracket narrower than a few ranks could miss one; such groups are small, take them whole
-                F.when(F.col("n") * slack < 4, F.col("low")).otherwise(F.col("edges")[2 * i]).alias("lo"),
-                F.when(F.col("n") * slack < 4, F.col("high")).otherwise(F.col("edges")[2 * i + 1]).alias("hi"),
-                ((F.col("n") - 1) * F.lit(float(probs[n]))).alias("rank"),
-            ) for i, n in enumerate(names)
-        ]).alias("bands"),
-    )
-    marked = known.select(*keys, F.col(value).alias("v")).join(brackets, keys)
-    # per band: values inside it stay, all values below it fall into one null entry, those above are not needed
-    entries = F.transform(
-        F.filter("bands", lambda b: F.col("v") <= b["hi"]),
-        lambda b: F.struct(b["name"].alias("name"), b["rank"].alias("rank"), F.when(F.col("v") >= b["lo"], F.col("v")).alias("v")))
-    counted = marked.select(*keys, F.explode(entries).alias("e")).groupBy(
-        *keys, F.col("e.name").alias("name"), F.col("e.rank").alias("rank"), F.col("e.v").alias("v")
-    ).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*keys, "name").orderBy(F.col("v").asc_nulls_first())
-    placed = counted.withColumn("upto", F.sum("c").over(w)).withColumn("from", F.col("upto") - F.col("c"))
-    lo_rank, hi_rank = F.floor("rank"), F.ceil("rank")
-
-    def at(rank):
-        return F.max(F.when((F.col("from") <= rank) & (rank < F.col("upto")), F.col("v")))
-
-    picked = placed.groupBy(*keys, "name", "rank").agg(at(lo_rank).alias("a"), at(hi_rank).alias("b"))
-    result = picked.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - lo_rank))
-    return result.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in names]
-    )
+    known = df.where(F.col(value).isNotNull())
+    counts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ranks = [((F.col("n") - 1) * F.lit(float(p))).alias(n) for n, p in probs.items()]
+    sides = cut(counts.select(*keys, F.explode(F.array(*[F.struct(F.lit(n).alias("of"), r.alias("rank")) for n, r in zip(names, ranks)])).alias("e"))
+                .select(*keys, "e.of", "e.rank"))
+    wanted = sides.select(*keys, F.floor("rank").alias("rank_at")).union(sides.select(*keys, F.ceil("rank").alias("rank_at"))).distinct()
+    found = cut(order_statistics(df, keys, wanted.withColumn("name", F.col("rank_at").cast("string")), value, limit, accuracy))
+    a = found.select(*keys, F.col("name").cast("long").alias("lo_rank"), F.col("v").alias("a"))
+    b = found.select(*keys, F.col("name").cast("long").alias("hi_rank"), F.col("v").alias("b"))
+    both = (sides.withColumns({"lo_rank": F.floor("rank"), "hi_rank": F.ceil("rank")})
+            .join(a, [*keys, "lo_rank"]).join(b, [*keys, "hi_rank"]))
+    q = F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.col("lo_rank"))
+    return both.withColumn("q", q).groupBy(*keys).agg(*[F.max(F.when(F.col("of") == n, F.col("q"))).alias(n) for n in names])
