@@ -27,6 +27,8 @@ MIN_WORDS = 50
 HASHES = 4
 ENOUGH = 2
 GAP = 2 * SHINGLE
+STEP = 16
+"""Windows of one min-hash this close together are one."""
 GRID = 2048
 REGION = 128
 """Shingles to each side of a window's own by which rows of a key are compared before whole stretches are verified."""
@@ -76,6 +78,24 @@ def compact_windows(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndar
     return c[wide], left[wide], right[wide]
 
 
+def thinned(hashes: np.ndarray, text: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows whose equal min-hashes repeat within ``STEP`` positions as one: the first, with the reach of all.
+
+    Where a text repeats a word or a few, a shingle comes at every position or so, each with a window of
+    its own around the same surroundings. The one that stands for them reaches ``STEP`` further to both
+    sides, as it may meet another text's repeats that far off their own diagonal.
+    """
+    near = (hashes[c[1:]] == hashes[c[:-1]]) & (text[1:] == text[:-1]) & (np.diff(c) < STEP)
+    begins = np.flatnonzero(np.concatenate([[True], ~near]))
+    from_first = c - c[begins][np.cumsum(np.concatenate([[True], ~near])) - 1]
+    part = from_first // STEP
+    new = np.concatenate([[True], ~near | (part[1:] != part[:-1])])
+    at = np.flatnonzero(new)
+    several = np.diff(np.append(at, len(c))) > 1
+    low, high = np.minimum.reduceat(left, at), np.maximum.reduceat(right, at)
+    return at, np.where(several, low - STEP, low), np.where(several, high + STEP, high)
+
+
 def windows(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
     """A row per window: key (function and min-hash), context, doc_id, position and reach to both sides."""
     width = max(1, min_words - SHINGLE + 1)
@@ -96,6 +116,9 @@ def windows(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
                     if not len(c):
                         continue
                     at = np.searchsorted(place, c)
+                    some, left, right = thinned(spread, text[at], c, left, right)
+                    c, at = c[some], at[some]
+                    left, right = np.maximum(left, begin[text[at]]), np.minimum(right, begin[text[at]] + np.diff(starts)[text[at]] - 1)
                     ahead = np.minimum(at + width // 2, starts[text[at] + 1] - 1)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(mix(spread[c] + np.uint64(f)).view(np.int64)), pa.array(values[ahead].astype(np.int64).astype(np.int32)),
