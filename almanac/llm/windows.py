@@ -14,7 +14,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,9 +28,8 @@ ENOUGH = 2
 GAP = 2 * SHINGLE
 STEP = 16
 """Windows of one min-hash this close together are one."""
-GRID = 2048
-REGION = 128
-"""Shingles to each side of a window's own by which rows of a key are compared before whole stretches are verified."""
+LENGTHS = (16, 23, 32, 45)
+"""Shingles to one side of a window's own that rows of a key, not joined by its leaders, meet through."""
 _ODD = seeds(64, 51) | np.uint64(1)
 
 
@@ -295,10 +293,23 @@ def _verified(stretches: DataFrame, texts: DataFrame, width: int, threshold: flo
         run, "a long, b long, a_start long, a_end long, b_start long, b_end long"))
 
 
-def _regions(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """``rows`` (doc_id, key, c, reach, fs, label and the grid's columns) with the shingles around c, within reach, and where c is."""
-    names = ["key", "c", "reach", "fs", "label", "cuts", "group"]
-    kinds = "doc_id long, key long, c int, reach long, fs int, label long, cuts int, group long, at int, around binary"
+def _contexts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, key, c, reach, fs, label) with hashes of the ``LENGTHS`` shingles from c on and up to c, null where the text is shorter."""
+    names = ["key", "c", "reach", "fs", "label"]
+    kinds = "doc_id long, key long, c int, reach long, fs int, label long, contexts array<long>"
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+
+    def of_text(values: np.ndarray, c: np.ndarray) -> list[list]:
+        out = []
+        for side in (1, -1):
+            hashes, inside = np.zeros(len(c), np.uint64), np.ones(len(c), bool)
+            for k in range(LENGTHS[-1]):
+                at = c + side * k
+                inside &= (at >= 0) & (at < len(values))
+                hashes = mix(hashes * np.uint64(31) + values[np.where(inside, at, 0)] + np.uint64(k + 1))
+                if k + 1 in LENGTHS:
+                    out.append([int(h) if ok else None for h, ok in zip(hashes.view(np.int64), inside)])
+        return [list(x) for x in zip(*out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,89 +317,23 @@ def _regions(rows: DataFrame, texts: DataFrame) -> DataFrame:
                 out = []
                 for r in part.to_pylist():
                     values = shingles(*word_hashes(pa.array([r["text"]])))[0]
-                    for w in r["rows"]:
-                        left, right = min(REGION, w["reach"] >> 32), min(REGION, w["reach"] & 0xFFFFFFFF)
-                        around = values[w["c"] - left:w["c"] + right + 1]
-                        out.append((r["doc_id"], *(w[c] for c in names), left, around.tobytes()))
-                cols = list(zip(*out)) if out else [[]] * 10
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", *names, "at", "around"])
+                    found = of_text(values, np.array([w["c"] for w in r["rows"]]))
+                    out += [(r["doc_id"], *(w[c] for c in names), own) for w, own in zip(r["rows"], found)]
+                cols = list(zip(*out)) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", *names, "contexts"])
 
     of_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))  # at most a document's windows
     return texts.join(of_doc, "doc_id").select("doc_id", "text", "rows").mapInArrow(run, kinds)
 
 
-def _hopeful(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Rows with at least ``least`` shingles that other rows of their key have too; no other row can be in a pair."""
-    sizes = rows["around"].str.len().to_numpy() // 8
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    values = mix(np.frombuffer(b"".join(rows["around"]), np.uint64) ^ np.repeat(mix(rows["key"].to_numpy().view(np.uint64)), sizes))
-    order = np.argsort(values)
-    at, who = values[order], owner[order]
-    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    several = np.minimum.reduceat(who, new) < np.maximum.reduceat(who, new)
-    hits = np.bincount(who[np.repeat(several, np.diff(np.append(new, len(at))))], minlength=len(rows))
-    return rows[hits >= least]
-
-
-def _apart(rows: pd.DataFrame, width: int, threshold: float) -> list[tuple]:
-    """Pairs of rows of one key, of different labels and documents (and different ``side``, if they have two), that hold a passage.
-
-    A row is compared with those of smaller documents that have enough of its shingles, in their
-    order, as long as they have shingles of it that no passage found before covers.
-    """
-    rows = rows.sort_values(["doc_id", "c"], ignore_index=True)
-    doc, c, reach, label, at, side, fs = (rows[x].to_numpy() for x in ("doc_id", "c", "reach", "label", "at", "side", "fs"))
-    around = [np.frombuffer(x, np.uint64) for x in rows["around"]]
-    two = len(np.unique(side)) > 1
-    # Rows of the most frequent label need not meet each other, so they are only listed, and looked up by the others.
-    names, counts = np.unique(label, return_counts=True)
-    top = names[counts.argmax()]
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in around])
-    values = np.concatenate(around)
-    order = np.lexsort([owner, values])
-    values, owner = values[order], owner[order]
-    new = np.concatenate([[True], (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])])
-    values, owner = values[new], owner[new]
-    least = width * threshold
-
-    near: dict[int, list[int]] = {}
-    for r in range(len(rows)):
-        if label[r] == top and len(names) > 1 and counts.max() > 1:
-            continue
-        low, high = np.searchsorted(values, around[r]), np.searchsorted(values, around[r], side="right")
-        n = high - low
-        hits = np.bincount(owner[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())], minlength=len(rows))
-        ok = (hits >= least) & (label != label[r]) & (doc != doc[r])
-        if two:
-            ok &= side != side[r]
-        for o in np.flatnonzero(ok):
-            if label[o] == top and counts.max() > 1 or o < r:
-                near.setdefault(max(r, o), []).append(min(r, o))
-    out = []
-    for b, smaller in near.items():
-        covered = np.zeros(len(around[b]), bool)
-        for a in sorted(set(smaller)):
-            if not (np.isin(around[b], around[a]) & ~covered).any():
-                continue
-            before = min(reach[a] >> 32, reach[b] >> 32)
-            after = min(reach[a] & 0xFFFFFFFF, reach[b] & 0xFFFFFFFF)
-            from_a, from_b = at[a] - min(before, REGION), at[b] - min(before, REGION)
-            size = min(before, REGION) + min(after, REGION) + 1
-            found = passages(around[a][from_a:from_a + size], around[b][from_b:from_b + size], width, threshold)
-            for _, _, p, q in found:
-                covered[from_b + p:from_b + q] = True
-            if found:
-                out.append((doc[a], doc[b], c[a] - before, c[a] + after, c[b] - before, c[b] + after, fs[a]))
-    return out
-
-
-def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame, width: int, threshold: float) -> DataFrame:
+def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame) -> DataFrame:
     """Pairs (a, b, a_from, a_to, b_from, b_to, fs) that the leaders left out: rows of one key not yet joined there.
 
-    Rows are joined if they lie in passages found with the same smallest document. A key whose
-    rows aren't all joined is cut into blocks of ``GRID`` rows that meet as a grid, one group per
-    pair of blocks; keys of one block are taken together in groups.
+    Rows are joined if they lie in passages found with the same smallest document. Rows of a key whose
+    rows aren't all joined meet through longer contexts: each with the first row that has the same
+    16, 23, 32 or 45 shingles before or after the key's own. A passage of 46 shingles and more has 23 to one side of
+    any place in it, and whatever lies around a frequent line, the longest context that two rows share there is
+    one that few others do. The number of pairs grows with the rows, however many share a key.
     """
     ends = [pairs.select("key", "fs", F.col(x).alias("doc_id"), F.col(f"{x}_c").alias("c"), F.col(f"{x}_reach").alias("reach")) for x in "ab"]
     rows = ends[0].unionAll(ends[1]).distinct()
@@ -396,24 +341,21 @@ def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame, width:
     rows = cut(rows.join(have, F.expr("doc_id = of and c >= start_word and c < end_word"), "left")
                .groupBy("key", "fs", "doc_id", "c", "reach").agg(F.min("first_doc").alias("label"))
                .withColumn("label", F.coalesce("label", F.xxhash64("doc_id", "c"))))
-    keys = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi"),
-                                       F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
-               .where("lo <> hi and one <> other").select("key", "n", F.ceil(F.col("n") / GRID).cast("int").alias("cuts")))
-    groups = F.greatest(F.lit(1), F.lit((keys.where("cuts = 1").agg(F.sum("n")).first()[0] or 0) // (2 * GRID)))
-    apart = cut(rows.join(keys, "key").withColumn("group", F.when(F.col("cuts") > 1, F.col("key")).otherwise(F.pmod(F.xxhash64("key"), groups))))
+    keys = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+            .where("lo <> hi and one <> other").select("key"))
+    apart = cut(rows.join(keys, "key"))
     texts = plain.join(apart.select("doc_id").distinct(), "doc_id", "left_semi")
-    grid = (_regions(apart, texts)
-            .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("cuts")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-            .withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other"))
-    shape = "a long, b long, a_from int, a_to int, b_from int, b_to int, fs int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _hopeful(pdf.rename(columns={"own": "side"}), width * threshold)
-        found = [x for _, own in rows.groupby("key") if len(own) > 1 for x in _apart(own, width, threshold)]
-        return pd.DataFrame(found, columns=["a", "b", "a_from", "a_to", "b_from", "b_to", "fs"])
-
-    return grid.groupBy("group", "cuts", "i", "j").applyInPandas(run, shape)
+    each = cut(_contexts(apart, texts)).select("doc_id", "key", "c", "reach", "fs", "label", F.posexplode("contexts").alias("slot", "context")).where("context is not null")
+    first = small(each.groupBy("key", "slot", "context").agg(
+        F.min(F.struct("doc_id", "c", "reach", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+        .where("lo <> hi").select("key", "slot", "context", "lead"))
+    met = each.join(first, ["key", "slot", "context"]).where("lead.doc_id <> doc_id and lead.label <> label")
+    met = met.select("fs", F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("lead.c").alias("a_c"), F.col("c").alias("b_c"),
+                     F.col("lead.reach").alias("a_reach"), F.col("reach").alias("b_reach")).distinct()
+    before = F.least(F.shiftright("a_reach", 32), F.shiftright("b_reach", 32))
+    after = F.least(F.col("a_reach").bitwiseAND(F.lit(0xFFFFFFFF)), F.col("b_reach").bitwiseAND(F.lit(0xFFFFFFFF)))
+    return met.select("a", "b", *[(F.col(f"{x}_c") + (after if to else -before)).cast("int").alias(f"{x}_{'to' if to else 'from'}")
+                                  for x in "ab" for to in (False, True)], "fs")
 
 
 def _hot(docs: DataFrame, min_words: int, hashes: int) -> DataFrame:
@@ -468,7 +410,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
         return cut(_spans(_verified(stretches, texts, width, threshold)))
 
     spans = spans_of(met, enough)
-    left = residual_pairs(met, cut(_merged(spans)), plain, width, threshold)
+    left = residual_pairs(met, cut(_merged(spans)), plain)
     return _merged(spans.unionAll(spans_of(left, 1)))
 
 
