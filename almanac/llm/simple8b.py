@@ -58,7 +58,6 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     plain = np.where(escaped, np.uint64(0), ids) if escaped.any() else ids
     width = _width(plain)
     width[escaped] = 61
-    place = np.arange(n, dtype=np.int32)
     select = np.full(n, 15, np.int8)
     low, top = width.min(), width.max()
     for s in range(14, -1, -1):
@@ -68,9 +67,14 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             select[:] = s
             continue
         # A run fits unless a wider id comes before its end; past the last id there is nothing wide.
-        wide = np.append(np.flatnonzero(width > BITS[s]), n + max(COUNTS))
-        run = np.repeat(wide, np.diff(wide, prepend=-1))[:n] - place
-        select[run >= COUNTS[s]] = s
+        wide = np.flatnonzero(width > BITS[s])
+        begins, ends = np.concatenate([[0], wide + 1]), np.append(wide, n + max(COUNTS))
+        good = ends - begins >= COUNTS[s]
+        if not good.any():
+            break  # nor does a narrower and longer one
+        begins, ends = begins[good], ends[good]
+        size = np.maximum(np.minimum(ends - COUNTS[s] + 1, n) - begins, 0)
+        select[np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())] = s
     step = np.array(COUNTS)[select].tolist()
     begins, i = [], 0
     note = begins.append
@@ -117,7 +121,8 @@ def _memo(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    return Memo(lambda names: [x.ids for x in tokenizer.encode_batch(names, add_special_tokens=False)])
+    # The fast form leaves out the places of tokens in their text.
+    return Memo(lambda names: [x.ids for x in tokenizer.encode_batch_fast(names, add_special_tokens=False)])
 
 
 def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
