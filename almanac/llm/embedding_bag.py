@@ -263,5 +263,5 @@ def below(docs: DataFrame, model: Model, s: Settings, cut: float) -> DataFrame:
 
 
 def held_out(modulus: int, remainder: int):
-    """Whether the id's remainder keeps the row's label from the fit; false for a null id."""
+    """True where the id's remainder keeps the row's label from the fit; false for a null id."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))

@@ -6,8 +6,8 @@ unseen word the longest character n-grams of it that are known anywhere are aver
 that length is known, shorter ones are tried, down to single characters.
 
 Words and n-grams are counted over at most ``ROWS`` rows that may be learned from, dealt evenly
-over languages. The model keeps the ``TOP_WORDS`` most frequent words and ``TOP_GRAMS`` n-grams:
-documented bounds on what is learned from and sent to executors. Prediction reads whole texts.
+over languages: the documented bound on what is learned from and sent to executors. The model keeps
+all that was counted. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ from almanac.llm.embedding_bag import held_out
 from almanac.llm.hashing import mix, seeds, slices
 
 ROWS = 6_000
-TOP_WORDS = 50_000
-TOP_GRAMS = 100_000
 LONGEST = 5
 UNDETERMINED = "und"
 _PLACE = seeds(8, 31) | np.uint64(1)
@@ -147,21 +145,16 @@ def sample(docs: DataFrame, rows: int) -> DataFrame:
     return docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang")
 
 
-def fit(docs: DataFrame, rows: int = ROWS, top_words: int = TOP_WORDS, top_grams: int = TOP_GRAMS) -> Model:
-    """Counts over at most ``rows`` rows; the most frequent words and n-grams are kept (ties by key)."""
-    counted = (sample(docs, rows).mapInArrow(_counts, "key long, size int, lang string, n long")
-               .groupBy("key", "size", "lang").agg(F.sum("n").alias("n")))
-    kept = counted.groupBy("key", "size").agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))
-    tops = [kept.where(F.col("size") == 0).orderBy(F.desc("total"), "key").limit(top_words),
-            kept.where(F.col("size") > 0).orderBy(F.desc("total"), "key").limit(top_grams)]
-    counts = tops[0].unionAll(tops[1]).select("key", "size", F.inline("each")).toArrow().to_pandas()
+def fit(docs: DataFrame, rows: int = ROWS) -> Model:
+    """Counts of all words and n-grams of at most ``rows`` rows."""
+    counts = (sample(docs, rows).mapInArrow(_counts, "key long, size int, lang string, n long")
+              .groupBy("key", "size", "lang").agg(F.sum("n").alias("n"))).toArrow().to_pandas()
     return Model(counts, sorted(counts["lang"].unique()))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every row; see ``language``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's two tops
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the fit's rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

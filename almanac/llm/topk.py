@@ -25,19 +25,18 @@ def finite(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The k best of each row with ties to smaller ids; ``ids`` ascend. Own ids take no part."""
-    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
-    usable = np.full(len(own), len(ids)) - (ids[at] == own)
+    """The k best of each row with ties to smaller ids; ``ids`` ascend. Rows with the query's own id take no part."""
+    low, high = np.searchsorted(ids, own), np.searchsorted(ids, own, side="right")
     rows = np.arange(len(own))
     floor = np.iinfo(np.int64).min if scores.dtype == np.int64 else -np.inf
-    hit = ids[at] == own
-    scores[rows[hit], at[hit]] = floor
+    for r in np.flatnonzero(high > low):
+        scores[r, low[r]:high[r]] = floor
     least = np.partition(scores, len(ids) - min(k, len(ids)), axis=1)[:, len(ids) - min(k, len(ids))]
     for r in rows:
-        n = min(k, usable[r])
+        n = min(k, len(ids) - (high[r] - low[r]))
         keep = np.flatnonzero(scores[r] >= least[r])
-        if hit[r]:
-            keep = keep[keep != at[r]]
+        if high[r] > low[r]:
+            keep = keep[(keep < low[r]) | (keep >= high[r])]
         keep = keep[np.argsort(-scores[r][keep], kind="stable")][:n]
         yield r, keep, scores[r][keep]
 
@@ -68,12 +67,13 @@ def tile_product(queries: pd.DataFrame, shard: pd.DataFrame, k: int) -> pd.DataF
 def top_k(candidates: DataFrame, queries: DataFrame, k: int = 10, shard: int = SHARD, tile: int = TILE) -> DataFrame:
     """query_id, rank from 1, vec_id, score: the k largest inner products of every query.
 
-    Both inputs are (id, v) with whole-number doubles and unique ids. Rows meet as a grid: shards
+    Both inputs are (id, v) with whole-number doubles. Rows meet as a grid: shards
     of about ``shard`` candidates against tiles of about ``tile`` queries, each cell one task's
     group, so no side is ever held whole. Each cell keeps its k best per query (partial
     selection); lists are then merged ``FAN`` shards at a time until one is left per query.
 
-    A candidate with the query's own id takes no part; ties go to the smaller id; vectors of
+    Candidates with the query's own id take no part. Rows that repeat an id count as rows: a candidate may
+    come twice in a list, and queries of one id share one list. Ties go to the smaller id; vectors of
     different lengths have no product and don't meet; fewer candidates than k give fewer rows;
     empty inputs give none. Products must fit 64 bits.
     """

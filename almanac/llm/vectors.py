@@ -19,7 +19,7 @@ STEP = 512
 
 
 def passes_for(n: int, threshold: float, block: int = BLOCK, recall: float = RECALL) -> int:
-    """Passes until a pair at the threshold has met in a window with probability ``recall``.
+    """Passes until a pair with that cosine has met in a window with probability ``recall``.
 
     Two vectors at angle a get the same random bit with probability 1 - a / pi, and meet if they
     share about as many leading bits as leave two blocks of vectors.
@@ -36,17 +36,47 @@ def _units(rows: pd.Series) -> np.ndarray:
     return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
-def keys(vectors: DataFrame, passes: int) -> DataFrame:
-    """(pass, dim, key, rep): 64 random sign bits of every vector, for every pass."""
+def mean_directions(vectors: DataFrame) -> DataFrame:
+    """(dim, mean, length): the mean of all vectors of a dimension, each taken at length one, and that mean's squared length."""
+    def sums(batches):
+        total = {}
+        for pdf in batches:
+            for dim, own in pdf.groupby(pdf["v"].str.len()):
+                n, so_far = total.get(dim, (0, 0.0))
+                total[dim] = n + len(own), so_far + _units(own["v"]).sum(axis=0)
+        if total:
+            yield pd.DataFrame({"dim": list(total), "n": [n for n, _ in total.values()], "total": [x for _, x in total.values()]})
+
+    def fold(pdf):
+        mean = np.stack(pdf["total"].to_numpy()).sum(axis=0) / pdf["n"].sum()
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "mean": [mean], "length": [float(mean @ mean)]})
+
+    # A row per task and dimension.
+    return vectors.select("v").mapInPandas(sums, "dim int, n long, total array<double>").groupBy("dim").applyInPandas(
+        fold, "dim int, mean array<double>, length double")
+
+
+def rest_cosine(threshold: float, length: float) -> float:
+    """Cosine of a pair at the threshold once a mean of that squared length is taken off both; not below 0."""
+    left = max(1e-9, 1 - length)
+    return max(0.0, 1 - (1 - threshold) / left)
+
+
+def keys(vectors: DataFrame, means: DataFrame, passes: int) -> DataFrame:
+    """(pass, dim, key, rep): 64 random sign bits of every vector's deviation from the mean direction, for every pass.
+
+    Without that, vectors of a common cone would share most of their bits.
+    """
     def run(batches):
         for pdf in batches:
             for dim, own in pdf.groupby(pdf["v"].str.len()):
-                unit = _units(own["v"])
+                unit = _units(own["v"]) - np.asarray(own["mean"].iloc[0])
                 for p in range(passes):
                     planes = np.random.default_rng([p, dim]).standard_normal((dim, 64))
                     bits = np.packbits(unit @ planes >= 0, axis=1).view(">i8").ravel()
                     yield pd.DataFrame({"pass": p, "dim": dim, "key": bits.astype(np.int64), "rep": own["rep"].to_numpy()})
-    return vectors.select("rep", "v").mapInPandas(run, "pass int, dim int, key long, rep long")
+    joined = vectors.select("rep", "v", F.size("v").alias("dim")).join(means.select("dim", "mean"), "dim")
+    return joined.mapInPandas(run, "pass int, dim int, key long, rep long")
 
 
 def ranked(sortable: DataFrame, *order: str) -> DataFrame:
@@ -136,7 +166,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     """vec_id, n_links, component_id, kept for every row of ``vectors``.
 
     Equal vectors are taken as one with a count. Each pass sorts the vectors by 64 random sign
-    bits and compares every vector with its own block of ``block`` neighbours and the one before;
+    bits of what is left without the mean direction, and compares every vector with its own block of ``block`` neighbours and the one before;
     verified pairs are joined across passes. Links are then counted among all vectors of a
     component, so a group wider than a window still gets its exact counts.
 
@@ -148,8 +178,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     usable = finite(rows, "vec_id", "raw").where(F.exists("v", lambda x: x != 0))
     reps = cut(usable.groupBy("v").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                .select(F.col("least").alias("rep"), "n", "v"))
-    passes = passes or passes_for(reps.count(), threshold, block)
-    rank = ranked(keys(reps, passes), "pass", "dim", "key", "rep")
+    means = cut(mean_directions(reps))
+    if passes is None:
+        longest = means.agg(F.max("length")).first()[0] or 0.0
+        passes = passes_for(reps.count(), rest_cosine(threshold, longest), block)
+    rank = ranked(keys(reps, means, passes), "pass", "dim", "key", "rep")
     own = F.floor(F.col("rank") / block).cast("long")
     near = rank.select("rep", F.explode(F.array(own, own + 1)).alias("block"))
     links = cut(near.join(reps.select("rep", "v"), "rep").groupBy("block").applyInPandas(
