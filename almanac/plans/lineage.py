@@ -36,3 +36,11 @@ def cut(df: DataFrame) -> DataFrame:
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of queries that have ended.
+
+    It does so when the driver's objects for them are collected, which on its own may come long after the disk is full.
+    """
+    spark.sparkContext._jvm.System.gc()
