@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.hashing import SHINGLE, mix, seeds, shingles, slices, word_hashes, word_spans
 from almanac.llm.rows import one_text_per_id, small
-from almanac.plans.lineage import cut
+from almanac.plans.lineage import cut, tidy
 
 MIN_WORDS = 50
 HASHES = 4
@@ -299,28 +299,31 @@ def _contexts(rows: DataFrame, texts: DataFrame) -> DataFrame:
     kinds = "doc_id long, key long, c int, reach long, fs int, label long, contexts array<long>"
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
 
-    def of_text(values: np.ndarray, c: np.ndarray) -> list[list]:
-        out = []
-        for side in (1, -1):
-            hashes, inside = np.zeros(len(c), np.uint64), np.ones(len(c), bool)
-            for k in range(LENGTHS[-1]):
-                at = c + side * k
-                inside &= (at >= 0) & (at < len(values))
-                hashes = mix(hashes * np.uint64(31) + values[np.where(inside, at, 0)] + np.uint64(k + 1))
-                if k + 1 in LENGTHS:
-                    out.append([int(h) if ok else None for h, ok in zip(hashes.view(np.int64), inside)])
-        return [list(x) for x in zip(*out)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                out = []
-                for r in part.to_pylist():
-                    values = shingles(*word_hashes(pa.array([r["text"]])))[0]
-                    found = of_text(values, np.array([w["c"] for w in r["rows"]]))
-                    out += [(r["doc_id"], *(w[c] for c in names), own) for w, own in zip(r["rows"], found)]
-                cols = list(zip(*out)) if out else [[]] * 7
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["doc_id", *names, "contexts"])
+                values, starts = shingles(*word_hashes(part.column("text")))
+                lists = part.column("rows")
+                owner = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+                flat = lists.flatten()
+                fields = {c: flat.field(c) for c in names}
+                c = starts[owner] + fields["c"].to_numpy(zero_copy_only=False)
+                first, end = starts[owner], starts[owner + 1]
+                found, known = [], []
+                for side in (1, -1):
+                    hashes, inside = np.zeros(len(c), np.uint64), np.ones(len(c), bool)
+                    for k in range(LENGTHS[-1]):
+                        at = c + side * k
+                        inside &= (at >= first) & (at < end)
+                        hashes = mix(hashes * np.uint64(31) + values[np.where(inside, at, 0)] + np.uint64(k + 1)) if len(values) else hashes
+                        if k + 1 in LENGTHS:
+                            found.append(hashes.view(np.int64))
+                            known.append(inside.copy())
+                contexts = pa.array(np.stack(found, 1).ravel(), mask=~np.stack(known, 1).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32) * len(found)), contexts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").take(pa.array(owner)), *(x.cast(t) for x, t in zip(fields.values(), types[1:])), lists],
+                    ["doc_id", *names, "contexts"])
 
     of_doc = rows.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("rows"))  # at most a document's windows
     return texts.join(of_doc, "doc_id").select("doc_id", "text", "rows").mapInArrow(run, kinds)
@@ -344,6 +347,7 @@ def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame) -> Data
     keys = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
             .where("lo <> hi and one <> other").select("key"))
     apart = cut(rows.join(keys, "key"))
+    tidy(apart.sparkSession)
     texts = plain.join(apart.select("doc_id").distinct(), "doc_id", "left_semi")
     each = cut(_contexts(apart, texts)).select("doc_id", "key", "c", "reach", "fs", "label", F.posexplode("contexts").alias("slot", "context")).where("context is not null")
     first = small(each.groupBy("key", "slot", "context").agg(
@@ -400,6 +404,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
         met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order, F.col("key").alias("own"))
                              .mapInArrow(_pair_runs, shape))
     met = cut(met)
+    tidy(met.sparkSession)
 
     def spans_of(met: DataFrame, enough: int) -> DataFrame:
         met = met.where("a <> b").repartition("a", "b").sortWithinPartitions("a", "b", "a_from").select("a", "b", "a_from", "a_to", "b_from", "b_to", "fs")
@@ -407,7 +412,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
                                        "a long, b long, a_from int, a_to int, b_from int, b_to int"))
         ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = cut(plain.join(ends, "doc_id", "left_semi"))
-        return cut(_spans(_verified(stretches, texts, width, threshold)))
+        spans = cut(_spans(_verified(stretches, texts, width, threshold)))
+        tidy(spans.sparkSession)
+        return spans
 
     spans = spans_of(met, enough)
     left = residual_pairs(met, cut(_merged(spans)), plain)
