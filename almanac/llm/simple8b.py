@@ -32,6 +32,8 @@ MARK = np.uint64((15 << 60) | ((1 << 60) - 1))
 LARGEST = (1 << 60) - 2
 BLOCK_IDS = 1 << 16
 SLICE = 1 << 22
+AT_ONCE = 1 << 13
+"""Segments that a worker encodes at once."""
 
 
 _SMALL = np.array([x.bit_length() for x in range(1 << 16)], np.int8)
@@ -121,8 +123,11 @@ def _memo(path: str) -> Memo:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    # The fast form leaves out the places of tokens in their text.
-    return Memo(lambda names: [x.ids for x in tokenizer.encode_batch_fast(names, add_special_tokens=False)])
+    def ids(names: list[str]) -> list[list[int]]:
+        # The tokenizer's objects are large beside their ids; the fast form leaves out the places of tokens in their text.
+        return [x.ids for at in range(0, len(names), AT_ONCE)
+                for x in tokenizer.encode_batch_fast(names[at:at + AT_ONCE], add_special_tokens=False)]
+    return Memo(ids)
 
 
 def tokenise(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
