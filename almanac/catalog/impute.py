@@ -8,6 +8,8 @@ from almanac.catalog.registry import query
 from almanac.catalog.sql import DAILY, DAILY_SPARSE, LINEAR, linear, near, r
 from almanac.functions.expr import long, rnd, shown
 from almanac.operators import impute as ops
+from almanac.operators import splines
+from almanac.plans.lineage import cut
 from almanac.sources import tables as src
 
 
@@ -249,3 +251,33 @@ def _(spark, sf):
   FROM report GROUP BY ROLLUP (method)""")
 def _(spark, sf):
     return ops.imputation_summary(_report(spark, sf))
+
+
+# The system's rows one after the other: eliminated forwards, then filled in backwards.
+SPLINE = f"""{DAILY_SPARSE},
+  kn AS MATERIALIZED (SELECT station_code, CAST(pos AS DOUBLE) AS x, value AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY station_code) AS n,
+    lag(CAST(pos AS DOUBLE)) OVER w AS xb, lag(value) OVER w AS yb, lead(CAST(pos AS DOUBLE)) OVER w AS xa, lead(value) OVER w AS ya
+    FROM daily WHERE value IS NOT NULL WINDOW w AS (PARTITION BY station_code ORDER BY pos)),
+  eq AS MATERIALIZED (SELECT *, xa - x AS h, (ya - y) / (xa - x) AS s, CASE WHEN i = 2 THEN 4 ELSE 3 END * (x - xb) + CASE WHEN i = n - 1 THEN 4 ELSE 3 END * (xa - x) AS d,
+    4 * ((ya - y) / (xa - x) - (y - yb) / (x - xb)) AS r, x - xb AS hb FROM kn WHERE i > 1 AND i < n),
+  fw AS (
+   SELECT station_code, i, d AS p, r AS q FROM eq WHERE i = 2
+   UNION ALL SELECT e.station_code, e.i, e.d - e.hb * e.hb / p, e.r - e.hb * q / p FROM fw JOIN eq e ON e.station_code = fw.station_code AND e.i = fw.i + 1),
+  fe AS MATERIALIZED (SELECT fw.*, h, n FROM fw JOIN eq USING (station_code, i)),
+  bw AS (
+   SELECT station_code, i, q / p AS c FROM fe WHERE i = n - 1
+   UNION ALL SELECT f.station_code, f.i, (f.q - f.h * c) / f.p FROM bw JOIN fe f ON f.station_code = bw.station_code AND f.i = bw.i - 1),
+  pc AS MATERIALIZED (SELECT e.station_code, e.i, e.n, e.x, e.y, b.c, CASE WHEN e.i = e.n - 1 THEN e.s - b.c * e.h ELSE e.s - (3 * b.c + a.c) * e.h / 4 END AS b
+    FROM eq e JOIN bw b ON b.station_code = e.station_code AND b.i = e.i LEFT JOIN bw a ON a.station_code = e.station_code AND a.i = e.i + 1),
+  {near('daily', 'nr')},
+  placed AS (SELECT nr.*, least(greatest(CASE WHEN 2 * pos < prev_pos + next_pos THEN k.i ELSE k.i + 1 END, 2), k.n - 1) AS i
+    FROM nr LEFT JOIN kn k ON k.station_code = nr.station_code AND k.x = nr.prev_pos)"""
+
+
+@query("impute_spline", f"""WITH RECURSIVE {SPLINE}
+  SELECT t.station_code, station, date, value IS NULL AS imputed,
+   {r(f'coalesce(value, CASE WHEN next_pos IS NOT NULL THEN p.y + p.b * (pos - p.x) + p.c * pow(pos - p.x, 2) END, {LINEAR}, prev_value, next_value)', 2)} AS value
+  FROM placed t LEFT JOIN pc p ON p.station_code = t.station_code AND p.i = t.i""")
+def _(spark, sf):
+    d = splines.impute_spline(cut(src.daily_sparse(spark, sf)), size=300)
+    return shown(d, ["station_code", "station", "date", "imputed"], ["value"], 2)

@@ -188,3 +188,24 @@ def _(spark, sf):
 def _(spark, sf):
     rep = job.run(src.series(spark, sf), stage="imputation")["report"]
     return rep.select(*KEYS, "total_count", "original_missing", "cleaned_count", "imputed_count", "remaining_missing", "status")
+
+
+@query("full_run_delivered")
+def _(spark, sf):
+    """The run's sinks, read back: predictions with their status, and the saved models of their station."""
+    path = scratch_path(spark, "delivered")
+    job.run(src.wide(spark, sf), "temp_max", thresholds=src.thresholds(spark, sf), sink=path)
+    table = spark.read.option("header", True).option("inferSchema", True).csv(f"{path}/predictions")
+    models = writers.list_models(spark, f"{path}/models").select("station_code", "n_models")
+    series = spark.read.option("header", True).csv(f"{path}/series").groupBy(F.col("station_code").cast("int").alias("station_code")).agg(
+        F.count(F.lit(1)).alias("series_rows"))
+    return table.where("type = 'prediction'").join(models, "station_code").join(series, "station_code").select(
+        *KEYS, "date", "n_models", "series_rows", *[rnd(c).alias(c) for c in ("value", "lower_ci", "upper_ci")])
+
+
+@query("full_run_checks")
+def _(spark, sf):
+    """Which components the filter keeps, which may be modelled, and whether the station's decomposition passes."""
+    out = job.run(src.wide(spark, sf), "temp_max")
+    return out["checks"].join(out["acceptance"], KEYS).join(out["gate"].select(*KEYS, "model_ready"), KEYS).select(
+        *KEYS, "component", "kept", "eligible", "accepted", "checks_passed", "model_ready", *[rnd(c).alias(c) for c in ("explained_ratio", "quality")])

@@ -32,6 +32,20 @@ def _(spark, sf):
     return ops.unpivot_days(src.wide(spark, sf), DAY_COLS, "Código", "Estación", "Año", "Mes")
 
 
+@query("impossible_dates", f"""WITH {LONG2}, s AS (SELECT station_code, station, count(*) AS cells FROM long2 GROUP BY 1, 2),
+  x AS (SELECT station_code, count(*) AS impossible FROM long2 WHERE day(date) = 28 AND month(date) IN (2, 4, 6, 9, 11) GROUP BY 1),
+  e AS (SELECT station_code, count(*) AS extra FROM long2 WHERE day(date) = 28 GROUP BY 1),
+  l AS (SELECT station_code, count(*) AS gone FROM long2 WHERE day(date) = 31 GROUP BY 1)
+  SELECT s.station_code, station, cells + extra - coalesce(gone, 0) AS cells, coalesce(impossible, 0) AS impossible,
+   {r('CAST(coalesce(impossible, 0) AS DOUBLE) / (cells + extra - coalesce(gone, 0))')} AS share
+  FROM s JOIN e USING (station_code) LEFT JOIN x USING (station_code) LEFT JOIN l USING (station_code)""")
+def _(spark, sf):
+    """The 28th of every month stands on its 31st too, which short months don't have."""
+    raw = src.wide(spark, sf).withColumn("Día31", F.col("Día28"))
+    d = ops.impossible_dates(raw, DAY_COLS, "Código", "Estación", "Año", "Mes")
+    return d.select("station_code", "station", "cells", "impossible", rnd("share").alias("share"))
+
+
 @query("calendar_spine", f"WITH {DAILY} SELECT station_code, station, date, pos, {r('value')} AS value FROM daily")
 def _(spark, sf):
     return long(src.daily(spark, sf), "pos")

@@ -1,7 +1,10 @@
-"""Chains of knots of a natural cubic spline, shortened to their ends and filled in again.
+"""Chains of knots of a spline, shortened to their ends and filled in again.
 
-The second derivatives at the knots of a spline solve a symmetric tridiagonal system. A chain of
-knots between two ends acts on the ends only through three coefficients and two right sides:
+The curvatures at the knots of a spline solve a symmetric tridiagonal system: two neighbours at a
+distance h with a slope s between them add ``own`` h to both diagonals, h beside them, and ``by`` s and
+-``by`` s to the right sides (2 and 6 for cubic pieces between the knots, 3 and 4 for quadratic ones
+that meet midway). A chain of knots between two ends acts on the ends only through three
+coefficients and two right sides:
 
     d0 * first + u * last = r0,    u * first + d1 * last = r1
 
@@ -28,12 +31,17 @@ class Chain(NamedTuple):
     rights: np.ndarray
 
 
-def shorten(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> Chain:
+CUBIC = (2, 6)
+QUADRATIC = (3, 4)
+
+
+def shorten(t: np.ndarray, y: np.ndarray, n: np.ndarray, kind: tuple[int, int] = CUBIC) -> Chain:
     """Eliminate the inner knots of many chains at once: row i has ``n[i]`` knots, two at least, in its first columns."""
     rows, width = t.shape
+    own, by = kind
     h = np.diff(t, axis=1)
-    s = 6 * np.diff(y, axis=1) / np.where(h > 0, h, 1.0)
-    d0, u, d1 = 2 * h[:, 0], h[:, 0].copy(), 2 * h[:, 0]
+    s = by * np.diff(y, axis=1) / np.where(h > 0, h, 1.0)
+    d0, u, d1 = own * h[:, 0], h[:, 0].copy(), own * h[:, 0]
     r0, r1 = s[:, 0].copy(), -s[:, 0]
     pivots, couplings, rights = np.ones((rows, width)), np.zeros((rows, width)), np.zeros((rows, width))
     for j in range(1, width - 1):
@@ -41,19 +49,19 @@ def shorten(t: np.ndarray, y: np.ndarray, n: np.ndarray) -> Chain:
         if not on.any():
             break
         gap, slope = h[:, j], s[:, j]
-        pivot = np.where(on, d1 + 2 * gap, 1.0)
+        pivot = np.where(on, d1 + own * gap, 1.0)
         right = r1 + slope
         pivots[:, j], couplings[:, j], rights[:, j] = pivot, np.where(on, u, 0.0), np.where(on, right, 0.0)
         d0 = np.where(on, d0 - u * u / pivot, d0)
         r0 = np.where(on, r0 - u * right / pivot, r0)
         r1 = np.where(on, -slope - gap * right / pivot, r1)
-        d1 = np.where(on, 2 * gap - gap * gap / pivot, d1)
+        d1 = np.where(on, own * gap - gap * gap / pivot, d1)
         u = np.where(on, -u * gap / pivot, u)
     return Chain(d0, u, d1, r0, r1, pivots, couplings, rights)
 
 
 def fill(t: np.ndarray, n: np.ndarray, chain: Chain, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Second derivatives at all knots, given those at both ends."""
+    """Curvatures at all knots, given those at both ends."""
     m = np.zeros(t.shape)
     rows = np.arange(len(t))
     m[:, 0] = first
@@ -67,12 +75,12 @@ def fill(t: np.ndarray, n: np.ndarray, chain: Chain, first: np.ndarray, last: np
     return m
 
 
-def solve_ends(t: np.ndarray, links: list[tuple[float, float, float, float, float]]) -> np.ndarray:
-    """Second derivatives at the knots ``t`` of a series, zero at both ends.
+def solve_ends(k: int, links: list[tuple[float, float, float, float, float]], ends: tuple[float, float, float, float] | None = None) -> np.ndarray:
+    """Curvatures at the ``k`` knots of a series.
 
-    ``links`` are the coefficients (d0, u, d1, r0, r1) of what lies between one knot and the next.
+    ``links`` are the coefficients (d0, u, d1, r0, r1) of what lies between one knot and the next. ``ends`` are a
+    diagonal and a right side added to the first and to the last knot; without them both curvatures are zero.
     """
-    k = len(t)
     diagonal, right, upper = np.zeros(k), np.zeros(k), np.zeros(k)
     for i, (d0, u, d1, r0, r1) in enumerate(links):
         diagonal[i] += d0
@@ -80,9 +88,15 @@ def solve_ends(t: np.ndarray, links: list[tuple[float, float, float, float, floa
         right[i] += r0
         right[i + 1] += r1
         upper[i] = u
-    diagonal[[0, -1]], right[[0, -1]] = 1.0, 0.0
     lower = upper.copy()
-    upper[0] = lower[k - 2] = 0.0
+    if ends is None:
+        diagonal[[0, -1]], right[[0, -1]] = 1.0, 0.0
+        upper[0] = lower[k - 2] = 0.0
+    else:
+        diagonal[0] += ends[0]
+        right[0] += ends[1]
+        diagonal[-1] += ends[2]
+        right[-1] += ends[3]
     for i in range(1, k):
         factor = lower[i - 1] / diagonal[i - 1]
         diagonal[i] -= factor * upper[i - 1]

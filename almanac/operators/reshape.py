@@ -59,6 +59,24 @@ def unpivot_days(
     )
 
 
+def impossible_dates(
+    df: DataFrame, day_cols: list[str], code: str = "station_code", station: str = "station",
+    year: str = "year", month: str = "month",
+) -> DataFrame:
+    """(station_code, station, cells, impossible, share) of monthly-wide rows: measured cells, and those whose date doesn't exist.
+
+    A day beyond its month's end, and any day of a row without a readable year and month, is impossible.
+    """
+    cells = F.array(*[F.struct(F.lit(day_number(c)).alias("day"), clean_cell(F.col(c)).alias("value")) for c in day_cols])
+    measured = F.filter(cells, lambda cell: cell["value"].isNotNull())
+    year_of, month_of = F.col(year).try_cast("int"), F.col(month).try_cast("int")
+    last = F.dayofmonth(F.last_day(F.try_to_date(F.format_string("%04d-%02d-01", year_of, month_of), "yyyy-MM-dd")))
+    good = F.size(F.filter(measured, lambda cell: (cell["day"] >= 1) & (cell["day"] <= F.coalesce(last, F.lit(0)))))
+    rows = df.select(F.col(code).alias("station_code"), F.col(station).alias("station"), F.size(measured).alias("all"), good.alias("good"))
+    out = rows.groupBy(*KEYS).agg(F.sum("all").alias("cells"), F.sum(F.col("all") - F.col("good")).alias("impossible"))
+    return out.withColumn("share", F.coalesce(F.try_divide("impossible", "cells"), F.lit(0.0)))
+
+
 def calendar_spine(df: DataFrame, keys: list[str] = KEYS, frequency: str = "D") -> DataFrame:
     """Every date from first to last per station, with ``pos`` from 1; values joined on.
 

@@ -23,6 +23,8 @@ from almanac.plans.lineage import cut
 
 KEYS = ["station_code", "station"]
 SIDES = (1.0, -1.0)  # of the upper and the lower envelope
+PART = 16
+"""Blocks that a task of a sift gets, about: its work is heavy for its bytes."""
 
 _ENDS = "n int, t array<double>, y array<double>, link array<double>"
 _EDGE = "n int, first double, last double, t array<double>, y array<double>, m array<double>"
@@ -126,7 +128,7 @@ def _one_side(ends: list[dict], start: float, stop: float) -> list[dict] | None:
             step(e["t"][-1], e["y"][-1], tuple(e["link"]))
     step(2 * stop - far[0][0], far[0][1])
     step(2 * stop - far[1][0], far[1][1])
-    m = chains.solve_ends(np.array(t), links)
+    m = chains.solve_ends(len(t), links)
     out, before = [], 1
     for b, e in enumerate(ends):
         first = place.get(b)
@@ -189,15 +191,16 @@ def _sifted(h: pd.Series, start: pd.Series, core_from: pd.Series, core_to: pd.Se
     return pd.Series(out)
 
 
-def _sift(state: DataFrame, keys: list[str], first: bool) -> DataFrame:
+def _sift(state: DataFrame, keys: list[str], first: bool, parts: int) -> DataFrame:
     own = [*keys, "member"]
     kinds = dict(state.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in [*own, "block"])
     ends = state.select(*own, "block", "start", "core_from", "core_to", "h").mapInPandas(
         _summaries(keys), f"{head}, core_from long, core_to long, upper struct<{_typed(_ENDS)}>, lower struct<{_typed(_ENDS)}>")
-    edges = ends.repartition(*own).sortWithinPartitions(*own, "block").mapInPandas(
+    edges = ends.repartition(parts, *own).sortWithinPartitions(*own, "block").mapInPandas(
         _edges(keys), f"{head}, upper struct<{_typed(_EDGE)}>, lower struct<{_typed(_EDGE)}>")
-    return state.join(edges, [*own, "block"]).withColumn(
+    place = [*own, "block"]
+    return state.repartition(parts, *place).join(edges.repartition(parts, *place), place).withColumn(
         "h", _sifted("h", "start", "core_from", "core_to", "upper", "lower", F.lit(first))).drop("upper", "lower")
 
 
@@ -223,9 +226,10 @@ def sifted_components(df: DataFrame, n: int = 4, sifts: int = 8, noise: float =
     """
     series = cut(_number(df, keys))
     state = cut(_state(series, keys, noise, pairs, size or blocks.BLOCK))
+    parts = -(-state.count() // PART) or 1
     for c in range(1, n + 1):
         for s in range(sifts):
-            state = _sift(state, keys, s == 0)
+            state = _sift(state, keys, s == 0, parts)
             if s == sifts - 1:
                 state = (state.withColumn(f"c{c}", F.col("h")).withColumn("r", F.zip_with("r", "h", lambda a, b: a - b))
                          .withColumn("h", F.col("r")))

@@ -107,7 +107,7 @@ def test_chains_shorten_and_fill_like_one_solve():
         parts = [(t[i:j + 1], y[i:j + 1]) for i, j in zip(cuts, cuts[1:])]
         tt, yy, n = sifting._padded(parts)
         chain = chains.shorten(tt, yy, n)
-        ends = chains.solve_ends(t[cuts], list(zip(chain.d0, chain.u, chain.d1, chain.r0, chain.r1)))
+        ends = chains.solve_ends(len(cuts), list(zip(chain.d0, chain.u, chain.d1, chain.r0, chain.r1)))
         m = chains.fill(tt, n, chain, ends[:-1], ends[1:])
         got = np.concatenate([m[i, :n[i] - 1] for i in range(len(parts))] + [ends[-1:]])
         assert np.allclose(got, want, atol=1e-10)
