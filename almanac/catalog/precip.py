@@ -80,7 +80,18 @@ BASE = f"{COMP_RAIN}, {SIMPLE}, {PROFILE}, base AS MATERIALIZED (SELECT station_
 BOUNDED = f"{BASE}, bnd AS MATERIALIZED (SELECT b.station_code, b.station, b.date, b.days_ahead, greatest(0.0, least(b.value, wet_max * 1.5)) AS value FROM base b JOIN (SELECT station_code, wet_max FROM prof) p ON b.station_code = p.station_code)"
 
 
-@query("precip_transform")
+def unit(salt):
+    """The same draw as ``hash_unit``."""
+    return f"((CAST('0x' || substr(md5('{salt}|' || CAST(station_code AS VARCHAR) || '|' || station || '|' || CAST(date AS VARCHAR)), 1, 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+@query("precip_transform", f"""WITH {BASE}, hi AS (SELECT station_code, avg(value) AS hm, stddev_samp(value) AS hs FROM rain GROUP BY 1),
+  t0 AS (SELECT b.station_code, b.station, CAST(b.date AS DATE) AS date, b.days_ahead, b.value, 1 - p.dry_fraction AS wet_fraction, p.wet_mean, hm, hs,
+    avg(b.value) OVER (PARTITION BY b.station_code) AS pm, stddev_pop(b.value) OVER (PARTITION BY b.station_code) AS ps
+    FROM base b JOIN prof p ON b.station_code = p.station_code JOIN hi ON b.station_code = hi.station_code),
+  t1 AS (SELECT *, CASE WHEN ps > 0 THEN (value - pm) * (hs / ps) + hm ELSE hm END AS scaled FROM t0)
+  SELECT station_code, station, date, {r(f"""CASE WHEN wet_fraction <= 0 THEN scaled WHEN NOT {unit('wet')} < wet_fraction THEN 0.0
+    WHEN scaled < wet_mean * 0.1 THEN -wet_mean * ln({unit('amount')}) ELSE greatest(scaled, wet_mean * 0.1) END""")} AS value, days_ahead FROM t1""")
 def _(spark, sf):
     h, _p, base = _rain_parts(spark, sf)
     return long(ops.precip_transform(base, h), "days_ahead")

@@ -50,9 +50,9 @@ def messages(*pairs: tuple[Column, str]) -> Column:
 
 
 def hash_unit(*cols) -> Column:
-    """Repeatable pseudo-uniform number in (0, 1) from the row's keys."""
-    h = F.pmod(F.xxhash64(*cols), F.lit(1_000_003))
-    return (h.cast("double") + F.lit(0.5)) / F.lit(1_000_003.0)
+    """Repeatable pseudo-uniform number in (0, 1) from the row's keys, by a digest that any engine has."""
+    text = F.concat_ws("|", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols])
+    return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 32))
 
 
 def long(df: DataFrame, *extra) -> DataFrame:
