@@ -42,7 +42,7 @@ def lag_design(comp: DataFrame, lags: int = N_LAGS, keys: list[str] = CKEYS) ->
             "lag_mean": F.avg("value").over(before), "lag_std": F.stddev_pop("value").over(before),
         }
     rows = blocks.framed(comp, keys, frames, before=lags).filter(F.col(f"lag_{lags}").isNotNull())
-    n = comp.groupBy(*keys).agg((F.max("pos") - lags).alias("n"))
+    n = comp.groupBy(*keys).agg((F.max("pos") - lags).alias("n"), F.avg("value").alias("centre"))
     idx = F.col("pos") - lags
     raw = F.exp(-DECAY * (F.col("n") - idx))
     # mean of exp(-a * age) over ages 0..n-1 in closed form
@@ -51,13 +51,17 @@ def lag_design(comp: DataFrame, lags: int = N_LAGS, keys: list[str] = CKEYS) ->
         *keys, "date", "pos", F.array(*[F.col(f"lag_{k}") for k in range(1, lags + 1)], "lag_mean", "lag_std").alias("x"),
         F.col("value").alias("y"),
         F.when(idx <= F.floor(F.col("n") * TRAIN_SHARE + 1e-9), "train").otherwise("test").alias("part"),
-        ((1 - STRENGTH) + STRENGTH * raw / mean_raw).alias("weight"))
+        ((1 - STRENGTH) + STRENGTH * raw / mean_raw).alias("weight"), "centre")
 
 
-def _gram(part: str, width: int) -> Column:
-    """Weighted sums of products of (1, x, y) over one part, as one flat array (upper triangle)."""
+def _gram(part: str, width: int, levels: int) -> Column:
+    """Weighted sums of products of (1, x, y) over one part, as one flat array (upper triangle).
+
+    The first ``levels`` inputs and y are levels of the series: its mean, ``centre``, is taken off, so that sums of
+    squares aren't differences of large numbers.
+    """
     mine = F.col("part") == part
-    v = [F.lit(1.0), *[F.col("x")[i] for i in range(width)], F.col("y")]
+    v = [F.lit(1.0), *[F.col("x")[i] - F.col("centre") if i < levels else F.col("x")[i] for i in range(width)], F.col("y") - F.col("centre")]
     w = F.when(mine, F.col("weight") if part == "train" else F.lit(1.0))
     return F.array(*[F.coalesce(F.sum(w * v[i] * v[j]), F.lit(0.0)) for i in range(len(v)) for j in range(i, len(v))])
 
@@ -93,8 +97,8 @@ def lag_sums(comp: DataFrame, keys: list[str] = CKEYS) -> DataFrame:
     """Product sums of the training and the hold-out rows, one row per component."""
     width = N_LAGS + 2
     return lag_design(comp, keys=keys).groupBy(*keys).agg(
-        _gram("train", width).alias("train"), _gram("test", width).alias("test"),
-        F.count(F.lit(1)).alias("n"))
+        _gram("train", width, N_LAGS + 1).alias("train"), _gram("test", width, N_LAGS + 1).alias("test"),
+        F.count(F.lit(1)).alias("n"), F.first("centre").alias("centre"))
 
 
 def _solve(sums: DataFrame, alphas: list[float], keys: list[str]) -> DataFrame:
@@ -112,8 +116,9 @@ def _solve(sums: DataFrame, alphas: list[float], keys: list[str]) -> DataFrame:
                 scale = getattr(row, "alpha_scale", 1.0)
                 for a in alphas:
                     beta = ridge_from_sums(train, a * scale)
-                    out.append((*[getattr(row, k) for k in keys], a * scale, beta.tolist(),
-                                mean_square(train, beta), mean_square(test, beta)))
+                    errors = mean_square(train, beta), mean_square(test, beta)
+                    beta[0] += row.centre * (1 - beta[1:N_LAGS + 2].sum())  # back to levels
+                    out.append((*[getattr(row, k) for k in keys], a * scale, beta.tolist(), *errors))
             yield pd.DataFrame(out, columns=[*keys, "alpha", "coefficients", "train_mse", "test_mse"])
 
     return sums.mapInPandas(run, f"{head}, alpha double, coefficients array<double>, train_mse double, test_mse double")
@@ -187,9 +192,10 @@ def order_selection(comp: DataFrame, max_order: int = 3, keys: list[str] = CKEYS
     rows = blocks.framed(
         comp, keys, lambda w: {f"lag_{k}": F.lag("value", k).over(w) for k in range(1, max_order + 1)},
         before=max_order).filter(F.col(f"lag_{max_order}").isNotNull())
-    design = rows.select(*keys, F.array(*[F.col(f"lag_{k}") for k in range(1, max_order + 1)]).alias("x"),
-                         F.col("value").alias("y"), F.lit("test").alias("part"), F.lit(1.0).alias("weight"))
-    sums = design.groupBy(*keys).agg(_gram("test", max_order).alias("sums"))
+    centre = comp.groupBy(*keys).agg(F.avg("value").alias("centre"))
+    design = rows.join(centre, keys).select(*keys, F.array(*[F.col(f"lag_{k}") for k in range(1, max_order + 1)]).alias("x"),
+                         F.col("value").alias("y"), F.lit("test").alias("part"), F.lit(1.0).alias("weight"), "centre")
+    sums = design.groupBy(*keys).agg(_gram("test", max_order, max_order).alias("sums"))
     kinds = dict(sums.dtypes)
     head = ", ".join(f"{k} {kinds[k]}" for k in keys)
 
