@@ -30,17 +30,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/almanac/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write an intermediate that several branches read, and continue from the written table."""
-    spark = df.sparkSession
-    path = scratch_path(spark, "cut")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of queries that have ended.
+def cut(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read, and continue from the written table.
 
-    It does so when the driver's objects for them are collected, which on its own may come long after the disk is full.
+    Nothing reads the write's shuffles again, so Spark is told to remove their files when it ends.
     """
-    spark.sparkContext._jvm.System.gc()
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
