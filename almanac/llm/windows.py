@@ -15,12 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm.hashing import SHINGLE, mix, seeds, shingles, slices, word_hashes, word_spans
 from almanac.llm.rows import one_text_per_id, small
-from almanac.plans.lineage import cut, tidy
+from almanac.plans.lineage import cut
 
 MIN_WORDS = 50
 HASHES = 4
@@ -347,13 +347,23 @@ def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame) -> Data
     keys = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
             .where("lo <> hi and one <> other").select("key"))
     apart = cut(rows.join(keys, "key"))
-    tidy(apart.sparkSession)
     texts = plain.join(apart.select("doc_id").distinct(), "doc_id", "left_semi")
-    each = cut(_contexts(apart, texts)).select("doc_id", "key", "c", "reach", "fs", "label", F.posexplode("contexts").alias("slot", "context")).where("context is not null")
-    first = small(each.groupBy("key", "slot", "context").agg(
+    rows = cut(_contexts(apart, texts))
+
+    def groups(rows: DataFrame, slots: Column) -> DataFrame:
+        """A row per row and slot, with one number for key, slot and context."""
+        each = rows.select("doc_id", "c", "reach", "fs", "label", "key", F.posexplode("contexts").alias("slot", "context"))
+        return each.where(F.col("context").isNotNull() & slots).withColumn("group", F.xxhash64("key", "slot", "context")).drop("context", "slot", "key")
+
+    # Rows that share a long context share its first shingles, so those few slots tell which rows can meet at all.
+    short = F.col("slot").isin(0, len(LENGTHS))
+    some = small(groups(rows, short).groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("group"))
+    able = small(groups(rows, short).join(some, "group", "left_semi").select("doc_id", "c").distinct())
+    each = cut(groups(rows.join(able, ["doc_id", "c"], "left_semi"), F.lit(True)))
+    first = small(each.groupBy("group").agg(
         F.min(F.struct("doc_id", "c", "reach", "label")).alias("lead"), F.min("label").alias("lo"), F.max("label").alias("hi"))
-        .where("lo <> hi").select("key", "slot", "context", "lead"))
-    met = each.join(first, ["key", "slot", "context"]).where("lead.doc_id <> doc_id and lead.label <> label")
+        .where("lo <> hi").select("group", "lead"))
+    met = each.join(first, "group").where("lead.doc_id <> doc_id and lead.label <> label")
     met = met.select("fs", F.col("lead.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("lead.c").alias("a_c"), F.col("c").alias("b_c"),
                      F.col("lead.reach").alias("a_reach"), F.col("reach").alias("b_reach")).distinct()
     before = F.least(F.shiftright("a_reach", 32), F.shiftright("b_reach", 32))
@@ -404,7 +414,6 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
         met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order, F.col("key").alias("own"))
                              .mapInArrow(_pair_runs, shape))
     met = cut(met)
-    tidy(met.sparkSession)
 
     def spans_of(met: DataFrame, enough: int) -> DataFrame:
         met = met.where("a <> b").repartition("a", "b").sortWithinPartitions("a", "b", "a_from").select("a", "b", "a_from", "a_to", "b_from", "b_to", "fs")
@@ -412,9 +421,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
                                        "a long, b long, a_from int, a_to int, b_from int, b_to int"))
         ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         texts = cut(plain.join(ends, "doc_id", "left_semi"))
-        spans = cut(_spans(_verified(stretches, texts, width, threshold)))
-        tidy(spans.sparkSession)
-        return spans
+        return cut(_spans(_verified(stretches, texts, width, threshold)))
 
     spans = spans_of(met, enough)
     left = residual_pairs(met, cut(_merged(spans)), plain)
