@@ -15,7 +15,7 @@ from almanac.operators import components as cops
 from almanac.operators import models
 from almanac.operators import stats as stat_ops
 from almanac.plans import job
-from almanac.plans.lineage import scratch_path
+from almanac.plans.lineage import cut, scratch_path
 from almanac.sources import readers, tables as src, writers
 
 KEYS = ["station_code", "station"]
@@ -40,6 +40,25 @@ def _(spark, sf):
     return long(readers.scan_station_files(spark, path))
 
 
+@query("scan_station_tables", f"""WITH {FILLED} SELECT station_code, station, date, {r('value')} AS value FROM filled""")
+def _(spark, sf):
+    """Three layouts in one tree: other orders, names and date formats, with columns of no interest between."""
+    path = scratch_path(spark, "tables")
+    rows = cut(src.filled(spark, sf))
+    m = F.col("station_code") % 3
+    text = F.col("value").cast("string")
+    layouts = [
+        rows.where(m == 0).select(F.date_format("date", "dd/MM/yyyy").alias("Fecha"), F.lit("x").alias("Nota"), text.alias("Temperatura"),
+                                  F.col("station").alias("Estación"), F.col("station_code").alias("Código")),
+        rows.where(m == 1).select(F.col("station_code").alias("code"), text.alias("value"), F.date_format("date", "yyyy-MM-dd").alias("measured_date"),
+                                  F.col("station").alias("STATION")),
+        rows.where(m == 2).select(F.lit(1).alias("row"), F.col("station").alias("station"), F.col("station_code").alias("codigo"), F.lit(None).cast("string").alias("gap"),
+                                  text.alias("Tmax"), F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"))]
+    for i, layout in enumerate(layouts):
+        layout.write.option("header", True).csv(f"{path}/layout{i}")
+    return long(readers.scan_station_tables(spark, path))
+
+
 @query("parse_date_column", f"""WITH {SERIES} SELECT station_code, station, date, {r('value')} AS value FROM series""")
 def _(spark, sf):
     m = F.col("station_code") % 3

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from almanac.operators.quality import COLUMN_NAMES, VALUE_NAMES
+
 KEYS = ["station_code", "station"]
 
 # The raw table's columns, date-column keywords, and units.
@@ -53,6 +55,40 @@ def scan_station_files(spark: SparkSession, root: str) -> DataFrame:
         F.col("stem").alias("station"), "date", "value")
 
 
+def _position(cells: Column, names: tuple[str, ...], parts: tuple[str, ...]) -> Column:
+    """Number from 0 of the first cell that is one of ``names``, else of the first that has one of ``parts``; null if none."""
+    exact = F.array_position(F.transform(cells, lambda c: F.coalesce(c.isin(*names), F.lit(False))), F.lit(True))
+    loose = F.array_position(F.transform(cells, lambda c: F.coalesce(c.rlike("|".join(parts)), F.lit(False))), F.lit(True))
+    found = F.when(exact > 0, exact).when(loose > 0, loose)
+    return (found - 1).cast("int")
+
+
+def scan_station_tables(spark: SparkSession, root: str, variable: str = "temp_max", columns: int = 48) -> DataFrame:
+    """(station_code, station, date, value) of all CSV files below ``root``, each read by its own header.
+
+    Columns may come in any order and under any of the known names (date, value of ``variable``, code, station), up to
+    ``columns`` of them. A header is a row that has a date keyword in a cell; its places are joined to the file's
+    other rows, one small row per file. Without a code column the file name's first number is the code, without a
+    station column the file name is the station. Files without a date or value column give no rows; bad dates and numbers are null.
+    """
+    names = [f"c{i}" for i in range(columns)]
+    cells = F.transform(F.array(*names), lambda c: F.trim(c))
+    raw = (spark.read.option("header", False).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
+           .schema(", ".join(f"{c} STRING" for c in names)).csv(root).select(cells.alias("cells"), F.col("_metadata.file_path").alias("file")))
+    known = raw.withColumn("lower", F.transform("cells", F.lower))
+    is_header = F.exists("lower", lambda c: F.coalesce(c.rlike("|".join(DATE_KEYWORDS)), F.lit(False)))
+    wanted = {"date": (("date", "fecha"), DATE_KEYWORDS), "code": COLUMN_NAMES["code"][:2], "station": (COLUMN_NAMES["station"][0], COLUMN_NAMES["station"][1][:3]),
+              "value": tuple((*a, *b) for a, b in zip(VALUE_NAMES.get(variable, VALUE_NAMES["temp_max"])[:2], (("value", "valor"),) * 2))}
+    places = known.where(is_header).select("file", *[_position(F.col("lower"), *n).alias(f"{role}_at") for role, n in wanted.items()])
+    of_file = places.groupBy("file").agg(*[F.min(f"{role}_at").alias(f"{role}_at") for role in wanted]).where("date_at is not null and value_at is not null")
+    rows = known.where(~is_header).join(of_file, "file")
+    cell = lambda role: F.get("cells", F.col(f"{role}_at"))
+    stem = F.regexp_extract(F.url_decode("file"), r"([^/]+)\.csv$", 1)
+    return rows.select(
+        F.coalesce(cell("code").try_cast("double").cast("int"), F.regexp_extract(stem, r"(\d+)", 1).try_cast("int")).alias("station_code"),
+        F.coalesce(cell("station"), stem).alias("station"), parsed_date(cell("date")).alias("date"), cell("value").try_cast("double").alias("value"))
+
+
 def parsed_date(c: Column) -> Column:
     """ISO date or timestamp first, then year-month-day, then day/month/year."""
     t = c.cast("string")
