@@ -28,6 +28,8 @@ ENOUGH = 2
 GAP = 2 * SHINGLE
 STEP = 16
 """Windows of one min-hash this close together are one."""
+AGAIN = 2
+"""Of the hash functions, the first ones whose keys are looked at once more for rows that leaders left apart."""
 LENGTHS = (16, 23, 32, 45)
 """Shingles to one side of a window's own that rows of a key, not joined by its leaders, meet through."""
 _ODD = seeds(64, 51) | np.uint64(1)
@@ -332,22 +334,23 @@ def _contexts(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame) -> DataFrame:
     """Pairs (a, b, a_from, a_to, b_from, b_to, fs) that the leaders left out: rows of one key not yet joined there.
 
-    Rows are joined if they lie in passages found with the same smallest document. Rows of a key whose
+    Of the first ``AGAIN`` hash functions; rows are joined if they lie in passages found with the same smallest document. Rows of a key whose
     rows aren't all joined meet through longer contexts: each with the first row that has the same
     16, 23, 32 or 45 shingles before or after the key's own. A passage of 46 shingles and more has 23 to one side of
     any place in it, and whatever lies around a frequent line, the longest context that two rows share there is
     one that few others do. The number of pairs grows with the rows, however many share a key.
     """
-    ends = [pairs.select("key", "fs", F.col(x).alias("doc_id"), F.col(f"{x}_c").alias("c"), F.col(f"{x}_reach").alias("reach")) for x in "ab"]
+    again = pairs.where(F.col("fs") < 1 << AGAIN)
+    ends = [again.select("key", "fs", F.col(x).alias("doc_id"), F.col(f"{x}_c").alias("c"), F.col(f"{x}_reach").alias("reach")) for x in "ab"]
     rows = ends[0].unionAll(ends[1]).distinct()
-    have = spans.select(F.col("doc_id").alias("of"), "start_word", "end_word", "first_doc")
+    have = small(spans.select(F.col("doc_id").alias("of"), "start_word", "end_word", "first_doc"))
     rows = cut(rows.join(have, F.expr("doc_id = of and c >= start_word and c < end_word"), "left")
                .groupBy("key", "fs", "doc_id", "c", "reach").agg(F.min("first_doc").alias("label"))
                .withColumn("label", F.coalesce("label", F.xxhash64("doc_id", "c"))))
-    keys = (rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
-            .where("lo <> hi and one <> other").select("key"))
+    keys = small(rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("doc_id").alias("one"), F.max("doc_id").alias("other"))
+                 .where("lo <> hi and one <> other").select("key"))
     apart = cut(rows.join(keys, "key"))
-    texts = plain.join(apart.select("doc_id").distinct(), "doc_id", "left_semi")
+    texts = plain.join(small(apart.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = cut(_contexts(apart, texts))
 
     def groups(rows: DataFrame, slots: Column) -> DataFrame:
@@ -419,7 +422,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
         met = met.where("a <> b").repartition("a", "b").sortWithinPartitions("a", "b", "a_from").select("a", "b", "a_from", "a_to", "b_from", "b_to", "fs")
         stretches = cut(met.mapInArrow(lambda it: _stretches(it, width, enough),
                                        "a long, b long, a_from int, a_to int, b_from int, b_to int"))
-        ends = stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        ends = small(stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = cut(plain.join(ends, "doc_id", "left_semi"))
         return cut(_spans(_verified(stretches, texts, width, threshold)))
 
