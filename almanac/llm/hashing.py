@@ -53,7 +53,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into row ranges of about ``limit`` bytes of text; a longer text is a range of its own."""
+    """Cut a batch into row ranges of about ``limit`` bytes of text; a longer text is a range of its own.
+
+    What the work on them has freed goes back to the system after each batch: a worker lives on from task to task.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, size = 0, 0
     for i, n in enumerate(sizes):
@@ -63,6 +66,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         size += int(n)
     if batch.num_rows > at:
         yield batch.slice(at)
+    pa.default_memory_pool().release_unused()
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

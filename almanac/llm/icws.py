@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from almanac.llm.graph import components
 from almanac.llm.hashing import counted, mix, seeds, shingles, slices, word_hashes
 from almanac.llm.rows import one_text_per_id
-from almanac.plans.lineage import cut
+from almanac.plans.lineage import TEXT_BATCH, cut
 
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     plain = one_text_per_id(docs)
     table = spark.sparkContext.broadcast(rarity(*document_frequencies(plain)))  # SLOTS numbers
-    signed = cut(signatures(plain, table))
+    signed = cut(signatures(plain, table), TEXT_BATCH)
     classes = signed.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     of_doc = cut(signed.select("doc_id", "print_a", "print_b").join(classes, ["print_a", "print_b"]).select("doc_id", "rep"))
     reps = signed.join(of_doc.where("doc_id = rep"), "doc_id").select(F.col("doc_id").alias("id"), "sample", "keys")
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     shared = cut(banded.join(leaders.drop("n"), ["band", "key"]))  # rows of buckets with two classes or more
     pairs = shared.where("id <> leader").select(F.col("id").alias("src"), F.col("leader").alias("dst")).distinct()
     texts = cut(plain.join(shared.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
-    links = cut(verified(pairs, texts, table, threshold))
+    links = cut(verified(pairs, texts, table, threshold), TEXT_BATCH)
     label = components(links)
     left = cut(residual_links(shared.drop("leader"), label, texts, table, threshold))
     if not left.isEmpty():

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from almanac.llm.hashing import SHINGLE, mix, seeds, shingles, slices, word_hashes, word_spans
 from almanac.llm.rows import one_text_per_id, small
-from almanac.plans.lineage import cut
+from almanac.plans.lineage import TEXT_BATCH, cut
 
 MIN_WORDS = 50
 HASHES = 4
@@ -289,6 +289,7 @@ def _verified(stretches: DataFrame, texts: DataFrame, width: int, threshold: flo
                 cols = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols],
                                                  ["a", "b", "a_start", "a_end", "b_start", "b_end"])
+            pa.default_memory_pool().release_unused()
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
     return (stretches.join(b, "b").join(a, "a").mapInArrow(
@@ -351,7 +352,7 @@ def residual_pairs(pairs: DataFrame, spans: DataFrame, plain: DataFrame) -> Data
                  .where("lo <> hi and one <> other").select("key"))
     apart = cut(rows.join(keys, "key"))
     texts = plain.join(small(apart.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = cut(_contexts(apart, texts))
+    rows = cut(_contexts(apart, texts), TEXT_BATCH)
 
     def groups(rows: DataFrame, slots: Column) -> DataFrame:
         """A row per row and slot, with one number for key, slot and context."""
@@ -401,7 +402,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
     plain = one_text_per_id(docs).where("text is not null")
     every = windows(plain, min_words, hashes)
     # Keys known to be hot are dealt over many tasks; each part has leaders of its own, and the parts' leaders meet once more.
-    hot = cut(_hot(plain, min_words, hashes).withColumn("hot", F.lit(True)))
+    hot = cut(_hot(plain, min_words, hashes).withColumn("hot", F.lit(True)), TEXT_BATCH)
     some_hot = not hot.isEmpty()
     salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(64))).otherwise(F.lit(-1)).cast("int")
     dealt = every.join(F.broadcast(hot), "key", "left").withColumn("salt", salt) if some_hot else every.withColumn("salt", F.lit(-1))
@@ -416,7 +417,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
                  .agg(F.min_by(F.struct("doc_id", "c", "reach", "f"), F.struct("doc_id", "c")).alias("x")).select("key", "context", "x.*"))
         met = pairs.unionAll(leads.repartition("key").sortWithinPartitions("key", "context", "doc_id", "c").select(*order, F.col("key").alias("own"))
                              .mapInArrow(_pair_runs, shape))
-    met = cut(met)
+    met = cut(met, TEXT_BATCH)
 
     def spans_of(met: DataFrame, enough: int) -> DataFrame:
         met = met.where("a <> b").repartition("a", "b").sortWithinPartitions("a", "b", "a_from").select("a", "b", "a_from", "a_to", "b_from", "b_to", "fs")
@@ -424,7 +425,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, threshold: fl
                                        "a long, b long, a_from int, a_to int, b_from int, b_to int"))
         ends = small(stretches.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
         texts = cut(plain.join(ends, "doc_id", "left_semi"))
-        return cut(_spans(_verified(stretches, texts, width, threshold)))
+        return cut(_spans(_verified(stretches, texts, width, threshold)), TEXT_BATCH)
 
     spans = spans_of(met, enough)
     left = residual_pairs(met, cut(_merged(spans)), plain)
@@ -463,12 +464,13 @@ def remove_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans_of, texts = batch.column("__spans").to_pylist(), batch.column("text").to_pylist()
-            cut_here = [bool(own) and text is not None for own, text in zip(spans_of, texts)]
-            texts = [cut_words(text, [(s["start_word"], s["end_word"]) for s in own]) if yes else text
-                     for yes, own, text in zip(cut_here, spans_of, texts)]
-            batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            yield batch.append_column("__was_cut", pa.array(cut_here)).select(schema.names)
+            for part in slices(batch):
+                spans_of, texts = part.column("__spans").to_pylist(), part.column("text").to_pylist()
+                cut_here = [bool(own) and text is not None for own, text in zip(spans_of, texts)]
+                texts = [cut_words(text, [(s["start_word"], s["end_word"]) for s in own]) if yes else text
+                         for yes, own, text in zip(cut_here, spans_of, texts)]
+                part = part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+                yield part.append_column("__was_cut", pa.array(cut_here)).select(schema.names)
 
     few = small(out, 200_000)  # a row per document with something to cut
     joined = docs.join(few, docs["doc_id"] == F.col("__span_doc"), "left").drop("__span_doc")

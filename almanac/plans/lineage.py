@@ -31,19 +31,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+TEXT_BATCH = 4 << 20
+"""Bytes of an Arrow batch where rows hold whole texts: by their number alone a batch would be as large as its texts are long."""
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, batch_bytes: int | None = None) -> DataFrame:
     """Write an intermediate that several branches read, and continue from the written table.
 
     Nothing reads the write's shuffles again, so Spark is told to remove their files when it ends.
+    ``batch_bytes`` bounds the Arrow batches that the write hands to Python.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | ({BATCH: str(batch_bytes)} if batch_bytes else {})
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.schema(df.schema).parquet(path)
